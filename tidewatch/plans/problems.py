@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.operators.dedup import extra_copies
+from tidewatch.operators import cdc, late
+from tidewatch.operators.dedup import extra_copies, kept_once
+from tidewatch.shared import shared_dir
 
 MESSAGE = ("asset_id", "event_id")
 
@@ -21,6 +26,49 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extra_copies(sent, MESSAGE, "ingestion_time", "delivery_id").select("delivery_id")
 
 
+SOURCE = ("asset_id", "stream")
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = table(spark, sf_dir, "sensor_readings").select(*MESSAGE, "ingestion_time", "delivery_id", "stream", "value", "event_time", "batch_id")
+    return late.corrected_windows(kept_once(sent, MESSAGE, "ingestion_time", "delivery_id"), SOURCE)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that a late message corrected after their first report."""
+    return _corrected(spark, sf_dir).where("corrections > 0").select(*SOURCE, late.PERIOD)
+
+
+def p1_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute statistics by event time, corrected up to the cut-off."""
+    return _corrected(spark, sf_dir).drop("last_seen")
+
+
+CHANGE = ("pane_index", "change_id")
+
+
+def _serving(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Apply the feed, publish the state, and read what is published."""
+    feed = table(spark, sf_dir, "aggregates").select("aggregate_id", *CHANGE, "op", *more)
+    root = f"{shared_dir(spark)}/tidewatch/serving-{uuid.uuid4().hex}"
+    cdc.publish(cdc.apply_changes(feed, "aggregate_id", CHANGE, "op"), root, "aggregates")
+    return cdc.read_published(spark, root, "aggregates").where(~F.col("deleted"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates present after all changes, each with the change it shows."""
+    return _serving(spark, sf_dir).select("aggregate_id", "change_id")
+
+
+SHOWN = ("metric_type", "asset_id", "stream", "unit", "window_start", "window_end", "is_last", "emitted_at", "readings", "value_mean", "value_min", "value_max", "value_stddev", "motor_readings", "running_ratio", "oil_temperature_mean", "air_leak_suspected")
+
+
+def p2_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serving table with its contents."""
+    rows = _serving(spark, sf_dir, *SHOWN)
+    return rows.select("aggregate_id", *CHANGE, *[F.unix_micros(c).alias(c + "_us") if c == "emitted_at" else c for c in SHOWN])
+
+
 #: Messages p6 keeps, as SQL; others build on it.
 KEPT = """kept AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, event_id ORDER BY ingestion_time NULLS LAST, delivery_id) AS rn
@@ -32,9 +80,33 @@ P6_FOUND = """SELECT delivery_id FROM (
   FROM sensor_readings WHERE event_id IS NOT NULL) WHERE rn > 1"""
 
 
+COUNTED = """counted AS (
+  SELECT asset_id, stream, value, epoch_us(ingestion_time) AS ing, CAST(floor(epoch_us(event_time) / 300000000) AS BIGINT) * 300 AS window_s
+  FROM kept WHERE value IS NOT NULL AND isfinite(value) AND ingestion_time IS NOT NULL
+    AND epoch_us(ingestion_time) - epoch_us(event_time) BETWEEN 0 AND 720000000)"""
+
+P1_FOUND = f"""WITH {KEPT}, {COUNTED}
+SELECT DISTINCT asset_id, stream, window_s FROM counted WHERE ing > (window_s + 360) * 1000000"""
+
+P1_WINDOWS = f"""WITH {KEPT}, {COUNTED}
+SELECT asset_id, stream, window_s, count(*) AS readings, count(*) FILTER (WHERE ing > (window_s + 360) * 1000000) AS corrections,
+  CAST(sum(CAST(value AS DECIMAL(26, 6))) AS DOUBLE) / count(*) AS value_mean, min(value) AS value_min, max(value) AS value_max
+FROM counted GROUP BY ALL"""
+
+NEWEST = """newest AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY pane_index DESC, change_id DESC) AS rn FROM aggregates)
+  WHERE rn = 1 AND lower(trim(op)) NOT IN ('d', 'delete'))"""
+
+P2_FOUND = f"WITH {NEWEST} SELECT aggregate_id, change_id FROM newest"
+
+P2_SERVING = f"""WITH {NEWEST} SELECT aggregate_id, pane_index, change_id, metric_type, asset_id, stream, unit, window_start, window_end, is_last,
+  epoch_us(emitted_at) AS emitted_at_us, readings, value_mean, value_min, value_max, value_stddev, motor_readings, running_ratio, oil_temperature_mean,
+  air_leak_suspected FROM newest"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_windows": p1_windows, "p2_found": p2_found, "p2_serving": p2_serving, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_serving": P2_SERVING, "p6_found": P6_FOUND}
