@@ -1,0 +1,256 @@
+"""Percentiles per group by distributed multi-select, and summaries that combine.
+
+The values lie in sorted runs, one per group and map task buffer, which are not moved by group. In every
+round each run proposes the median of its values inside a target's open range, the weighted median of the
+proposals becomes the pivot, the runs count below, equal and above three ways, and the side that can't hold
+the wanted rank is discarded. A target is found when its rank falls on values equal to the pivot, or when at
+most ``finish`` candidates are left, which are then gathered and sorted. All targets of all groups run
+together; a round is one pass over the runs and one aggregation of a few numbers per run and target. When
+less than a quarter of the stored values is still a candidate, the runs are written again without the rest,
+so all passes together cost a small multiple of the first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.operators.late import finite
+from tidewatch.shared import written
+
+#: A round's targets are broadcast up to this many; beyond it they are joined by group with a shuffle.
+BROADCAST_TARGETS = 50_000
+RUN_VALUES = 262_144
+STATE = "t_id int, low double, high double, pivot double, rank long, width long"
+
+
+def sorted_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows ``keys, vals``: the finite values, sorted, in runs of up to ``RUN_VALUES`` per task buffer and group."""
+    named = df.where(finite(value)).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("v"))
+    types = [named.schema[f"k{i}"].dataType for i in range(len(keys))]
+    out = T.StructType([*[T.StructField(f"k{i}", t) for i, t in enumerate(types)], T.StructField("vals", T.ArrayType(T.DoubleType(), False))])
+
+    def runs(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        code = np.zeros(t.num_rows, np.int64)
+        for i in range(len(keys)):
+            d = t[f"k{i}"].combine_chunks().dictionary_encode(null_encoding="encode")
+            d = d if isinstance(d, pa.DictionaryArray) else d.combine_chunks()
+            code = code * (len(d.dictionary) + 1) + np.asarray(d.indices.to_numpy(zero_copy_only=False), np.int64)
+        v = t["v"].to_numpy()
+        order = np.lexsort((v, code))
+        starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+        first = t.take(pa.array(order[starts])).combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)].astype(np.int32)), pa.array(v[order]))
+        return pa.RecordBatch.from_arrays([*[first[f"k{i}"].combine_chunks() if isinstance(first[f"k{i}"], pa.ChunkedArray) else first[f"k{i}"] for i in range(len(keys))], lists], names=out.names)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= RUN_VALUES:
+                yield runs(pa.Table.from_batches(held))
+                held, n = [], 0
+        if held:
+            yield runs(pa.Table.from_batches(held))
+
+    return named.mapInArrow(local, out)
+
+
+def _inside(v: np.ndarray, low: float, high: float) -> np.ndarray:
+    return v[np.searchsorted(v, low, "right") : np.searchsorted(v, high, "left")]
+
+
+def _middle(v: np.ndarray) -> float | None:
+    return float(v[(len(v) - 1) // 2]) if len(v) else None
+
+
+def _joined(runs: DataFrame, state: DataFrame, k: list[str], targets: int) -> DataFrame:
+    """Runs with their group's open targets; runs of groups that are done drop out."""
+    per = state.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("low", "high", "pivot", "t_id"))).alias("open"))
+    if targets <= BROADCAST_TARGETS:
+        per = F.broadcast(per)
+    other = per.select(*[F.col(c).alias("o_" + c) for c in k], "open")
+    on = [F.col(c).eqNullSafe(F.col("o_" + c)) for c in k]
+    return runs.join(other, on, "inner").select(*k, "vals", "open")
+
+
+def _round(joined: DataFrame, k: list[str]) -> DataFrame:
+    """Counts three ways around each pivot, and the proposals for both sides, summed over the runs."""
+    fields = [joined.schema[c] for c in k]
+    out = T.StructType([*fields, *[T.StructField(n, t) for n, t in (("t_id", T.IntegerType()), ("lt", T.LongType()), ("eq", T.LongType()), ("gt", T.LongType()), ("m_lt", T.DoubleType()), ("m_gt", T.DoubleType()))]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, got = [], {n: [] for n in ("t_id", "lt", "eq", "gt", "m_lt", "m_gt")}
+            flat = b["vals"].values.to_numpy()
+            at = b["vals"].offsets.to_numpy()
+            for i, targets in enumerate(b["open"].to_pylist()):
+                v = flat[at[i] : at[i + 1]]
+                for t in targets:
+                    c = _inside(v, t["low"], t["high"])
+                    if not len(c):
+                        continue
+                    a, z = np.searchsorted(c, t["pivot"], "left"), np.searchsorted(c, t["pivot"], "right")
+                    rows.append(i)
+                    for n, x in (("t_id", t["t_id"]), ("lt", a), ("eq", z - a), ("gt", len(c) - z), ("m_lt", _middle(c[:a])), ("m_gt", _middle(c[z:]))):
+                        got[n].append(x)
+            if rows:
+                key = b.select(k).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*key.columns, pa.array(got["t_id"], pa.int32()), *[pa.array(got[n], pa.int64()) for n in ("lt", "eq", "gt")], *[pa.array(got[n], pa.float64()) for n in ("m_lt", "m_gt")]], names=out.names)
+
+    counted = joined.mapInArrow(count, out)
+    # the weighted median of the runs' medians; runs without a proposal have weight 0
+    pivot = lambda m, w: F.expr(f"percentile({m}, 0.5, {w})")
+    return counted.groupBy(*k, "t_id").agg(F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), F.sum("gt").alias("gt"), pivot("m_lt", "lt").alias("p_lt"), pivot("m_gt", "gt").alias("p_gt"))
+
+
+def _shrunk(joined: DataFrame, k: list[str]) -> DataFrame:
+    """The runs without values that are no target's candidates."""
+    out = T.StructType([*[joined.schema[c] for c in k], T.StructField("vals", T.ArrayType(T.DoubleType(), False))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, parts = [], []
+            flat, at = b["vals"].values.to_numpy(), b["vals"].offsets.to_numpy()
+            for i, targets in enumerate(b["open"].to_pylist()):
+                v = flat[at[i] : at[i + 1]]
+                keep = np.zeros(len(v) + 1, np.int64)
+                for t in targets:
+                    a, z = np.searchsorted(v, t["low"], "right"), np.searchsorted(v, t["high"], "left")
+                    if z > a:
+                        keep[a] += 1
+                        keep[z] -= 1
+                c = v[np.cumsum(keep[:-1]) > 0]
+                if len(c):
+                    rows.append(i)
+                    parts.append(c)
+            if rows:
+                offsets = np.r_[0, np.cumsum([len(c) for c in parts])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.select(k).take(pa.array(rows)).columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))], names=out.names)
+
+    return joined.mapInArrow(cut, out)
+
+
+def _gathered(joined: DataFrame, state: DataFrame, k: list[str], finish: int) -> DataFrame:
+    """Targets with at most ``finish`` candidates left: gather these and take the rank."""
+    fields = [joined.schema[c] for c in k]
+    out = T.StructType([*fields, T.StructField("t_id", T.IntegerType()), T.StructField("few", T.ArrayType(T.DoubleType()))])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, ids, few = [], [], []
+            flat, at = b["vals"].values.to_numpy(), b["vals"].offsets.to_numpy()
+            for i, targets in enumerate(b["open"].to_pylist()):
+                for t in targets:
+                    c = _inside(flat[at[i] : at[i + 1]], t["low"], t["high"])
+                    if len(c):
+                        rows.append(i)
+                        ids.append(t["t_id"])
+                        few.append(c)
+            if rows:
+                yield pa.RecordBatch.from_arrays([*b.select(k).take(pa.array(rows)).columns, pa.array(ids, pa.int32()), pa.array(few, pa.list_(pa.float64()))], names=out.names)
+
+    some = joined.mapInArrow(slices, out).groupBy(*k, "t_id").agg(F.array_sort(F.flatten(F.collect_list("few"))).alias("few"))
+    on = [F.col(c).eqNullSafe(F.col("s_" + c)) for c in [*k, "t_id"]]
+    wanted = state.select(*[F.col(c).alias("s_" + c) for c in [*k, "t_id"]], "rank")
+    return some.join(wanted, on).select(*k, "t_id", F.element_at("few", (F.col("rank") + 1).cast("int")).alias("found"))
+
+
+def select_ranks(runs: DataFrame, ranks: DataFrame, k: list[str], *, finish: int = 32) -> DataFrame:
+    """``ranks`` (``k``, ``t_id``, ``rank`` from 0) with ``found``, the value of that rank in its group, exactly."""
+    stored = None
+    state = written(ranks.select(*k, "t_id", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(float("-inf")).alias("pivot"), "rank", F.col("width").cast("long").alias("width")), "select-state")
+    done: list[DataFrame] = []
+    while True:
+        n, left = state.agg(F.count("*"), F.sum("width")).first()
+        if not n:
+            break
+        if stored is not None and left < stored / 4:
+            runs = written(_shrunk(_joined(runs, state, k, n), k), "select-runs")
+            stored = left
+        stored = stored or left
+        small = state.where(F.col("width") <= finish)
+        large = state.where(F.col("width") > finish)
+        s, big = state.agg(F.count(F.when(F.col("width") <= finish, 1)), F.count(F.when(F.col("width") > finish, 1))).first()
+        if s:
+            done.append(written(_gathered(_joined(runs, small, k, s), small, k, finish), "select-found"))
+        if not big:
+            break
+        sums = _round(_joined(runs, large, k, big), k)
+        on = [F.col(c).eqNullSafe(F.col("s_" + c)) for c in [*k, "t_id"]]
+        was = large.select(*[F.col(c).alias("s_" + c) for c in [*k, "t_id"]], "low", "high", "pivot", "rank")
+        step = sums.join(was, on)
+        below, hit = F.col("rank") < F.col("lt"), F.col("rank") < F.col("lt") + F.col("eq")
+        moved = written(
+            step.select(
+                *k, "t_id", F.when(below | hit, F.col("low")).otherwise(F.col("pivot")).alias("low"), F.when(below, F.col("pivot")).otherwise(F.col("high")).alias("high"), F.when(below, F.col("p_lt")).otherwise(F.col("p_gt")).alias("next_pivot"),
+                F.when(below, F.col("rank")).otherwise(F.col("rank") - F.col("lt") - F.col("eq")).alias("rank"), F.when(below, F.col("lt")).otherwise(F.col("gt")).alias("width"), (~below & hit).alias("hit"), "pivot",
+            ),
+            "select-state",
+        )
+        done.append(moved.where("hit").select(*k, "t_id", F.col("pivot").alias("found")))
+        state = moved.where("NOT hit").select(*k, "t_id", "low", "high", F.col("next_pivot").alias("pivot"), "rank", "width")
+    if not done:
+        return ranks.select(*k, "t_id", F.lit(None).cast("double").alias("found")).limit(0)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _selected(df: DataFrame, keys: Sequence[str], value: str, of: Sequence[int], per: int, finish: int) -> tuple[DataFrame, list[str]]:
+    k = [f"k{i}" for i in range(len(keys))]
+    runs = written(sorted_runs(df, keys, value), "select-runs")
+    sizes = runs.groupBy(*k).agg(F.sum(F.size("vals")).cast("long").alias("width"))
+    each = sizes.withColumn("t_id", F.explode(F.array(*[F.lit(int(p)) for p in of])))
+    ranks = written(each.withColumn("rank", F.greatest(F.lit(0).cast("long"), F.floor((F.col("t_id").cast("long") * F.col("width") + (per - 1)) / per).cast("long") - 1)), "select-ranks")
+    found = select_ranks(runs, ranks, k, finish=finish)
+    other = found.select(*[F.col(c).alias("f_" + c) for c in [*k, "t_id"]], "found")
+    on = [F.col(c).eqNullSafe(F.col("f_" + c)) for c in [*k, "t_id"]]
+    return ranks.join(other, on).select(*k, "t_id", "width", "rank", "found"), k
+
+
+def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, permille: Sequence[int] = (100, 500, 900, 990), *, finish: int = 32) -> DataFrame:
+    """Exact percentiles per group: ``keys``, ``permille``, ``readings`` (values in the group), ``percentile``.
+
+    The percentile p of n values is the one of rank ``ceil(p * n)`` (at least 1) in ascending order: an
+    observed value, error 0. Values that are null, NaN or infinite are left out; a group without any other
+    has no row; a null key is a group like any other. Ties count as often as they occur. An empty table
+    gives no rows; columns beside the named ones are ignored.
+    """
+    found, k = _selected(df, keys, value, permille, 1000, finish)
+    return found.select(*[F.col(c).alias(n) for c, n in zip(k, keys)], F.col("t_id").alias("permille"), F.col("width").alias("readings"), F.col("found").alias("percentile"))
+
+
+def slice_summaries(df: DataFrame, keys: Sequence[str], slice_col: str, value: str, points: int = 64, *, finish: int = 32) -> DataFrame:
+    """Mergeable summaries, one per group and slice (day, partition, ...): every (1/``points``)-quantile with its weight.
+
+    Columns: ``keys``, ``slice_col``, ``value``, ``weight``. The weights of a slice add up to its number of
+    values. Summaries made apart are put together with ``unionByName`` and read with :func:`combined`.
+    """
+    found, k = _selected(df, [*keys, slice_col], value, range(1, points + 1), points, finish)
+    before = F.coalesce(F.lag("rank").over(Window.partitionBy(*k).orderBy("t_id")), F.lit(-1).cast("long"))
+    return found.select(*[F.col(c).alias(n) for c, n in zip(k, [*keys, slice_col])], F.col("found").alias("value"), (F.col("rank") - before).alias("weight")).where("weight > 0")
+
+
+def combined(summaries: DataFrame, keys: Sequence[str], permille: Sequence[int] = (100, 500, 900, 990)) -> DataFrame:
+    """Percentiles of the whole from the summaries of its slices.
+
+    A summary point stands for the values from the last point to itself, so a slice of n values is off by
+    less than ``n / points`` in rank, and the whole of N values by less than ``N / points`` plus one per
+    slice. Columns: ``keys``, ``permille``, ``readings``, ``percentile``.
+    """
+    at = summaries.groupBy(*keys, "value").agg(F.sum("weight").alias("weight"))
+    w = Window.partitionBy(*keys)
+    run = at.withColumns({"upto": F.sum("weight").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("weight").over(w)})
+    each = run.withColumn("permille", F.explode(F.array(*[F.lit(int(p)) for p in permille])))
+    need = F.greatest(F.lit(1).cast("long"), ((F.col("permille").cast("long") * F.col("total") + 999) / 1000).cast("long"))
+    return each.where(F.col("upto") >= need).groupBy(*keys, "permille").agg(F.max("total").alias("readings"), F.min("value").alias("percentile"))
