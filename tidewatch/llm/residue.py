@@ -1,0 +1,231 @@
+"""Template residue and error pages: labelled exemplars, an inverted index, TF-IDF containment.
+
+Passages are a document's cues (text outside cues: its lines) and, for unfilled places, single words.
+An inverted index over the exemplars' words retrieves the exemplars a passage may hold; one is held if the
+passage has most of its TF-IDF weight. A passage is residue if held exemplars contain almost all of its
+weight. Inverse document frequencies are counted over all documents. Unfilled places are exemplars whose
+words are forms such as braces around a name; one of them alone, even amid a cue, is residue.
+"""
+
+from __future__ import annotations
+
+import html
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.llm.subtitles import LINE_ENDS, fold, rough
+
+#: Labelled exemplars; fixed values. Numbers, paths, codes and hosts in them stand for any.
+EXEMPLARS: dict[str, tuple[str, ...]] = {
+    "placeholder": (
+        "cue text", "insert dialogue here", "insert text here", "insert title here", "your text here", "untranslated", "translation here", "text goes here", "title goes here", "subtitle line goes here", "undefined", "TODO: translate this line", "TODO translate", "translate this line", "subtitle goes here",
+        "escribe aquí tu texto", "texto de ejemplo", "votre texte ici", "texte à traduire", "hier text einfügen", "Beispieltext",
+    ),
+    "filler": ("Sample subtitle text", "Sample text", "Dummy line 7", "Dummy text", "Test cue, please ignore", "text text text text", "bla bla bla bla", "blah blah blah blah", "xxxx xxx xxxxx", "asdf asdf jkl asdf", "test test test"),
+    "error page": (
+        "404 Not Found", "The requested URL /a/1 was not found on this server.", "Page not found", "Access Denied", 'You don\'t have permission to access "/a/1" on this server.', "Reference #1a2b3c4d", "403 Forbidden", "Error 500", "Internal Server Error", "500 Internal Server Error", "Bad gateway", "502 Bad Gateway",
+        "Service temporarily unavailable", "Web server is down", "Request ID: 1a2b3c4d", "Gateway timeout", "Fatal error: Uncaught exception in /srv/app/a.inc on line 7", "Oops! Something went wrong while loading this subtitle.", "Try reloading the page or go back to the homepage.", "Sorry, this file has been removed or the link has expired. (code 1a2b3c4d)",
+        "Session timed out. Log in again to download subtitles.", "Too many requests. You have reached the download limit for today, try again in 7 minutes.", "site.example is undergoing scheduled maintenance. We will be back shortly.",
+        "Página no encontrada", "La dirección /a/1 no existe en este servidor.", "Acceso denegado: su sesión ha caducado.", "Error interno del servidor. Inténtalo de nuevo más tarde.", "Has superado el límite de descargas diarias.",
+        "Page introuvable", "L'adresse /a/1 n'existe pas sur ce serveur.", "Accès refusé : votre session a expiré.", "Erreur interne du serveur. Réessayez plus tard.",
+        "Seite nicht gefunden", "Die Adresse /a/1 existiert auf diesem Server nicht.", "Zugriff verweigert: Ihre Sitzung ist abgelaufen.", "Interner Serverfehler. Bitte versuchen Sie es später erneut.",
+    ),
+    "script notice": (
+        "Please enable JavaScript and cookies to continue", "Checking your browser before accessing site.example", "You need to have scripts turned on in your browser to view this page.", "This app works best with JavaScript enabled. Your browser does not seem to run it.", "You need to enable JavaScript to run this app.", "JavaScript is required to view this page.",
+        "Debes activar JavaScript en tu navegador para ver esta página.", "Veuillez activer JavaScript pour afficher cette page.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.",
+    ),
+}
+#: Words of sham Latin, which fillers draw in any order; fixed values.
+SHAM_LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit dolum volupta quisque omnut caret sil nemor ardus velor facit invidi paxil tamen morat entis sere"
+#: Forms of unfilled places; fixed values. A brace alone around a plain word is one, formatting codes are none.
+PLACES = re.compile(
+    r"\{\{[^{}\n]{0,60}\}\}|[$#]\{[^{}\n]{0,60}\}|<%[^%\n]{0,60}%>|\[\[[^\[\]\n]{0,60}\]\]|<<[^<>\n]{1,60}>>|%[A-Z][A-Z0-9_]{2,40}%|\$[A-Z][A-Z0-9_]{1,40}\$|__[A-Z][A-Z0-9_]{0,40}?__|@@[A-Z0-9_]{1,40}@@"
+    r"|\{\d{1,3}\}|\{[A-Za-z]+_[A-Za-z0-9_]{1,40}\}|<[A-Z]{3,}(?:[ _][A-Z]{2,}){1,4}>"
+)
+NUMBER_LINE = re.compile(r"^\W{0,3}\d{1,7}\W{0,2}$")
+CODES = re.compile(r"\{\\[^{}\n]{1,60}\}|\{[a-zA-Z]:[^{}\n]{1,20}\}|</?[A-Za-z0-9!][^<>\n]{0,120}>")
+LINKED = re.compile(r"[/<]|\w\.\w")
+VALUE = re.compile(r"\"?/[\w./-]+\"?|\b(?=[\w.-]*\.[a-z]{2,})[\w-]+(?:\.[\w-]+)+\b|\b(?=\w*\d)[0-9a-f]{4,}\b|\d+", re.I)
+
+
+def terms(text: str) -> list[str]:
+    """Folded words; numbers, paths, codes and hosts are one word of their own."""
+    return fold(VALUE.sub(" zvaluez ", text)).split()
+
+
+def passages(text: str) -> Iterator[str]:
+    """The cues of a text; outside cues, its lines. Formatting is taken off, unfilled places are kept."""
+    if "\r" in text:
+        text = LINE_ENDS.sub("\n", text)
+    text = text.lstrip("﻿")
+    if "&" in text:
+        text = html.unescape(text)
+    cue: list[str] = []
+    timed = False
+    for line in text.split("\n"):
+        if "-->" in line:
+            while cue and NUMBER_LINE.match(cue[-1]):
+                cue.pop()
+            if cue:
+                yield from [" ".join(cue)] if timed else cue
+            cue, timed = [], True
+        elif not line.strip():
+            if timed and cue:
+                yield " ".join(cue)
+                cue, timed = [], False
+        elif line.strip() not in ("WEBVTT",):
+            cue.append(line.strip())
+    if cue:
+        yield from [" ".join(cue)] if timed else [c for c in cue if not NUMBER_LINE.match(c)]
+
+
+@dataclass
+class Index:
+    """Exemplars' words with their weights and the postings of each word."""
+
+    weight: dict[str, float]
+    unknown: float
+    exemplars: list[tuple[str, Counter, float]]
+    postings: dict[str, list[int]]
+    latin: frozenset
+    rough: frozenset
+
+    @classmethod
+    def build(cls, frequency: dict[str, int], documents: int, exemplars: dict[str, Sequence[str]] = EXEMPLARS, latin: str = SHAM_LATIN) -> "Index":
+        counted = [(kind, Counter(terms(e))) for kind, texts in exemplars.items() for e in texts]
+        bag = frozenset(terms(latin))
+        vocabulary = {t for _, c in counted for t in c} | bag
+        weight = {t: math.log((documents + 1) / (frequency.get(t, 0) + 1)) + 0.5 for t in vocabulary}
+        postings: dict[str, list[int]] = {}
+        rows = []
+        for k, (kind, c) in enumerate(counted):
+            rows.append((kind, c, sum(weight[t] * n for t, n in c.items())))
+            for t in c:
+                postings.setdefault(t, []).append(k)
+        return cls(weight, max(4.0, sorted(weight.values())[len(weight) // 2]) if weight else 4.0, rows, postings, bag, frozenset(w for texts in [*exemplars.values(), (latin,)] for e in texts for w in rough(e).split()))
+
+
+def vocabulary(exemplars: dict[str, Sequence[str]] = EXEMPLARS, latin: str = SHAM_LATIN) -> set[str]:
+    return {t for texts in exemplars.values() for e in texts for t in terms(e)} | set(terms(latin))
+
+
+def of_text(text: str, index: "Index", inside: float = 0.85, held: float = 0.8) -> Counter:
+    """Kinds of residue in a text, with the number of passages of each.
+
+    A passage of which more than half the words are in no exemplar can't be contained in exemplars; only
+    the others, those with a path, host or tag, and those with an unfilled place, are judged in full.
+    """
+    cut = list(passages(text))
+    whole = "\n".join(cut)
+    places = PLACES.search(whole) is not None
+    got: Counter = Counter()
+    known = index.rough
+    for passage, words in zip(cut, rough(whole).split("\n")):
+        ws = words.split()
+        if places or 2 * sum(w in known or "9" in w for w in ws) >= len(ws) or LINKED.search(passage):
+            kind = judge(passage, index, inside, held)
+            if kind:
+                got[kind] += 1
+    return got
+
+
+def judge(passage: str, index: Index, inside: float = 0.85, held: float = 0.8) -> str | None:
+    """The kind of residue a passage is, or None."""
+    place = PLACES.search(passage)
+    if place:
+        return "unfilled place"
+    ts = terms(CODES.sub(" ", passage) if "<" in passage or "{" in passage else passage)
+    if not ts:
+        return None
+    get = index.weight.get
+    count = Counter(ts)
+    total = sum(get(t, index.unknown) * n for t, n in count.items())
+    known = sum(get(t, 0.0) * n for t, n in count.items())
+    if known < inside * total:
+        return None
+    if len(ts) >= 3 and sum(n for t, n in count.items() if t in index.latin) >= inside * len(ts):
+        return "filler"
+    seen: Counter = Counter()
+    for t in count:
+        for k in index.postings.get(t, ()):
+            seen[k] += index.weight[t] * min(count[t], index.exemplars[k][1][t])
+    left, kind, covered = Counter(count), None, 0.0
+    for k, w in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
+        if w < held * index.exemplars[k][2]:
+            continue
+        took = 0.0
+        for t, n in index.exemplars[k][1].items():
+            m = min(n, left[t])
+            if m:
+                left[t] -= m
+                took += m * index.weight[t]
+        if took:
+            kind = kind or index.exemplars[k][0]
+            covered += took
+    # values are worth nothing once an exemplar is held: any number of them may follow
+    if kind and left["zvaluez"]:
+        total -= left["zvaluez"] * index.weight.get("zvaluez", 0.0)
+    return kind if kind and covered >= inside * total else None
+
+
+def frequencies(documents: DataFrame, words: set[str], text: str = "text") -> DataFrame:
+    """``term``, ``documents``: in how many documents each of ``words`` occurs; ``documents`` of the null term is the number of all."""
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("documents", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        n = 0
+        for b in batches:
+            n += b.num_rows
+            for t in b["text"]:
+                if t.is_valid:
+                    seen.update(words.intersection(fold(t.as_py()).split()))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=out.names)
+
+    return documents.select(F.col(text).alias("text")).mapInArrow(count, out).groupBy("term").agg(F.sum("documents").alias("documents"))
+
+
+def residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", exemplars: dict[str, Sequence[str]] | None = None, inside: float = 0.85, held: float = 0.8) -> DataFrame:
+    """``doc_id``, ``kind``, ``passages``: documents with residue in place of dialogue, and how many passages are of which kind.
+
+    ``inside`` is the share of a passage's weight that exemplars must contain, ``held`` the share of an
+    exemplar's weight the passage must have. Words in several languages agree with what recognition errors
+    or a wrong encoding make of them. Null and empty texts have no residue; repeated rows with one id add
+    up; other columns are ignored; an empty table gives no rows. The vocabulary counted and sent to the
+    tasks is the exemplars', whatever the number of documents.
+    """
+    chosen = exemplars or EXEMPLARS
+    counted = frequencies(documents, vocabulary(chosen), text).collect()  # at most a row per exemplar word
+    number = {r.term: r.documents for r in counted}
+    index = Index.build({t: n for t, n in number.items() if t is not None}, number.get(None, 0) or 0, chosen)
+    named = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    out = T.StructType([named.schema["doc_id"], T.StructField("kind", T.StringType()), T.StructField("n", T.LongType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, kinds, ns = [], [], []
+            for i, t in enumerate(b["text"]):
+                if not t.is_valid:
+                    continue
+                for k, n in of_text(t.as_py(), index, inside, held).items():
+                    rows.append(i)
+                    kinds.append(k)
+                    ns.append(n)
+            if rows:
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(rows)), pa.array(kinds), pa.array(ns, pa.int64())], names=out.names)
+
+    return named.mapInArrow(find, out).groupBy("doc_id", "kind").agg(F.sum("n").alias("passages"))
+
+
+def without_residue(documents: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFrame:
+    """``documents`` without those that have residue; rows with a null id stay."""
+    bad = residue(documents, doc_id=doc_id, **kw).select(F.col("doc_id").alias(doc_id)).distinct()
+    return documents.join(bad, doc_id, "left_anti")
