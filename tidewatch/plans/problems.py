@@ -87,8 +87,8 @@ def _series(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes without a usable reading between the first and the last of a day."""
-    return _series(spark, sf_dir, only_filled=True).select(*SOURCE, "slot_s")
+    """Minutes without a usable reading between the first and the last of a day, each filled by the model."""
+    return _series(spark, sf_dir, only_filled=True).where(F.col("value").isNotNull()).select(*SOURCE, "slot_s")
 
 
 def p4_series(spark: SparkSession, sf_dir: str) -> DataFrame:
