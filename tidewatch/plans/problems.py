@@ -160,8 +160,8 @@ SELECT stream, asset_id, CAST(permille AS INTEGER) AS permille, n AS readings, v
 WHERE rn = greatest(1, (permille * n + 999) // 1000)"""
 
 P3_COMBINED = f"""WITH ranked AS (
-  SELECT stream, asset_id, CAST(event_time AS DATE) AS day, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY stream, asset_id, CAST(event_time AS DATE)) AS n
-  FROM sensor_readings WHERE value IS NOT NULL AND isfinite(value) WINDOW w AS (PARTITION BY stream, asset_id, CAST(event_time AS DATE) ORDER BY value)),
+  SELECT stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE) AS day, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE)) AS n
+  FROM sensor_readings WHERE value IS NOT NULL AND isfinite(value) WINDOW w AS (PARTITION BY stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE) ORDER BY value)),
 points AS (SELECT stream, asset_id, value, rn - lag(rn, 1, 0) OVER (PARTITION BY stream, asset_id, day ORDER BY rn) AS weight
   FROM (SELECT DISTINCT stream, asset_id, day, value, rn FROM ranked, range(1, 65) AS g(i) WHERE rn = greatest(1, (i * n + 63) // 64))),
 summed AS (SELECT stream, asset_id, value, sum(weight) AS weight FROM points GROUP BY ALL),
