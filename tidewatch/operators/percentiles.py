@@ -13,6 +13,7 @@ so all passes together cost a small multiple of the first.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,6 @@ from tidewatch.shared import written
 #: A round's targets are broadcast up to this many; beyond it they are joined by group with a shuffle.
 BROADCAST_TARGETS = 50_000
 RUN_VALUES = 262_144
-STATE = "t_id int, low double, high double, pivot double, rank long, width long"
 
 
 def sorted_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -139,8 +139,8 @@ def _shrunk(joined: DataFrame, k: list[str]) -> DataFrame:
     return joined.mapInArrow(cut, out)
 
 
-def _gathered(joined: DataFrame, state: DataFrame, k: list[str], finish: int) -> DataFrame:
-    """Targets with at most ``finish`` candidates left: gather these and take the rank."""
+def _gathered(joined: DataFrame, state: DataFrame, k: list[str]) -> DataFrame:
+    """Targets with few candidates left: gather these and take the rank."""
     fields = [joined.schema[c] for c in k]
     out = T.StructType([*fields, T.StructField("t_id", T.IntegerType()), T.StructField("few", T.ArrayType(T.DoubleType()))])
 
@@ -166,44 +166,40 @@ def _gathered(joined: DataFrame, state: DataFrame, k: list[str], finish: int) ->
 
 def select_ranks(runs: DataFrame, ranks: DataFrame, k: list[str], *, finish: int = 32) -> DataFrame:
     """``ranks`` (``k``, ``t_id``, ``rank`` from 0) with ``found``, the value of that rank in its group, exactly."""
-    stored = None
-    state = written(ranks.select(*k, "t_id", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(float("-inf")).alias("pivot"), "rank", F.col("width").cast("long").alias("width")), "select-state")
-    done: list[DataFrame] = []
+    names = [*k, "t_id"]
+    on = [F.col(c).eqNullSafe(F.col("s_" + c)) for c in names]
+    state = written(ranks.select(*names, F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(float("-inf")).alias("pivot"), "rank", F.col("width").cast("long").alias("width"), F.lit(False).alias("hit")), "select-state")
+    stored, waiting, few_in_all, done = None, [], 0, []
     while True:
-        n, left = state.agg(F.count("*"), F.sum("width")).first()
-        if not n:
+        wide = (F.col("width") > finish) & ~F.col("hit")
+        big, left, hits, few = state.agg(F.count_if(wide), F.sum(F.when(wide, F.col("width"))), F.count_if("hit"), F.count_if(~wide & ~F.col("hit"))).first()
+        if hits:
+            done.append(state.where("hit").select(*names, F.col("pivot").alias("found")))
+        if few:
+            waiting.append(state.where(~wide & ~F.col("hit")))
+            few_in_all += few
+        if not big:
             break
+        large = state.where(wide)
         if stored is not None and left < stored / 4:
-            runs = written(_shrunk(_joined(runs, state, k, n), k), "select-runs")
+            still = reduce(DataFrame.unionByName, waiting, large)
+            runs = written(_shrunk(_joined(runs, still, k, big + few_in_all), k), "select-runs")
             stored = left
         stored = stored or left
-        small = state.where(F.col("width") <= finish)
-        large = state.where(F.col("width") > finish)
-        s, big = state.agg(F.count(F.when(F.col("width") <= finish, 1)), F.count(F.when(F.col("width") > finish, 1))).first()
-        if s:
-            done.append(written(_gathered(_joined(runs, small, k, s), small, k, finish), "select-found"))
-        if not big:
-            break
         sums = _round(_joined(runs, large, k, big), k)
-        on = [F.col(c).eqNullSafe(F.col("s_" + c)) for c in [*k, "t_id"]]
-        was = large.select(*[F.col(c).alias("s_" + c) for c in [*k, "t_id"]], "low", "high", "pivot", "rank")
-        step = sums.join(was, on)
+        was = large.select(*[F.col(c).alias("s_" + c) for c in names], "low", "high", "pivot", "rank")
         below, hit = F.col("rank") < F.col("lt"), F.col("rank") < F.col("lt") + F.col("eq")
-        moved = written(
-            step.select(
-                *k, "t_id", F.when(below | hit, F.col("low")).otherwise(F.col("pivot")).alias("low"), F.when(below, F.col("pivot")).otherwise(F.col("high")).alias("high"), F.when(below, F.col("p_lt")).otherwise(F.col("p_gt")).alias("next_pivot"),
-                F.when(below, F.col("rank")).otherwise(F.col("rank") - F.col("lt") - F.col("eq")).alias("rank"), F.when(below, F.col("lt")).otherwise(F.col("gt")).alias("width"), (~below & hit).alias("hit"), "pivot",
+        state = written(
+            sums.join(was, on).select(
+                *names, F.when(below, F.col("low")).otherwise(F.col("pivot")).alias("low"), F.when(below, F.col("pivot")).otherwise(F.col("high")).alias("high"), F.when(~below & hit, F.col("pivot")).when(below, F.col("p_lt")).otherwise(F.col("p_gt")).alias("pivot"),
+                F.when(below, F.col("rank")).otherwise(F.col("rank") - F.col("lt") - F.col("eq")).alias("rank"), F.when(below, F.col("lt")).otherwise(F.col("gt")).alias("width"), (~below & hit).alias("hit"),
             ),
             "select-state",
         )
-        done.append(moved.where("hit").select(*k, "t_id", F.col("pivot").alias("found")))
-        state = moved.where("NOT hit").select(*k, "t_id", "low", "high", F.col("next_pivot").alias("pivot"), "rank", "width")
-    if not done:
-        return ranks.select(*k, "t_id", F.lit(None).cast("double").alias("found")).limit(0)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    if waiting:
+        small = reduce(DataFrame.unionByName, waiting)
+        done.append(written(_gathered(_joined(runs, small, k, few_in_all), small, k), "select-found"))
+    return reduce(DataFrame.unionByName, done) if done else ranks.select(*names, F.lit(None).cast("double").alias("found")).limit(0)
 
 
 def _selected(df: DataFrame, keys: Sequence[str], value: str, of: Sequence[int], per: int, finish: int) -> tuple[DataFrame, list[str]]:
