@@ -87,7 +87,7 @@ def _with(sizes: DataFrame, plan: dict[str, dict], field: str, values: dict[str,
     """Sizes of the mixed sources with their plan; the plan has at most ``MOST_SOURCES`` rows."""
     rows = [(s, p["cap"], p["mean"], p["full"], p["wanted"], float(values[s])) for s, p in plan.items()]
     small = sizes.sparkSession.createDataFrame(rows, f"p_source string, cap double, mean double, full boolean, wanted double, {field} double")
-    return sizes.join(F.broadcast(small), F.col("source") == F.col("p_source")).drop("p_source")
+    return sizes.select("doc_id", "source", "tokens").join(F.broadcast(small), F.col("source") == F.col("p_source")).drop("p_source")
 
 
 def multipliers(sizes: DataFrame, plan: dict[str, dict], *, tolerance: float = 1e-7, rounds: int = 60) -> dict[str, float]:
@@ -130,7 +130,7 @@ def mixed(sizes: DataFrame, targets: DataFrame, *, total_tokens: int | None = No
     """
     plan = _plan(sizes, targets, total_tokens)
     if not plan:
-        return sizes.where("false").withColumn("copies", F.lit(0))
+        return sizes.where("false").select("doc_id", "source", "tokens", F.lit(0).alias("copies"))
     lam = multipliers(sizes, plan)
     rated = _with(sizes.where("tokens > 0"), plan, "lam", lam).withColumn("rate", _rate())
     base = F.floor(F.col("rate")).cast("int")

@@ -52,7 +52,7 @@ PLACES = re.compile(
 )
 NUMBER_LINE = re.compile(r"^\W{0,3}\d{1,7}\W{0,2}$")
 CODES = re.compile(r"\{\\[^{}\n]{1,60}\}|\{[a-zA-Z]:[^{}\n]{1,20}\}|</?[A-Za-z0-9!][^<>\n]{0,120}>")
-LINKED = re.compile(r"[/<]|\w\.\w")
+LINKED = re.compile(r"[/<&]|\w\.\w")
 VALUE = re.compile(r"\"?/[\w./-]+\"?|\b(?=[\w.-]*\.[a-z]{2,})[\w-]+(?:\.[\w-]+)+\b|\b(?=\w*\d)[0-9a-f]{4,}\b|\d+", re.I)
 
 
@@ -66,8 +66,6 @@ def passages(text: str) -> Iterator[str]:
     if "\r" in text:
         text = LINE_ENDS.sub("\n", text)
     text = text.lstrip("﻿")
-    if "&" in text:
-        text = html.unescape(text)
     cue: list[str] = []
     timed = False
     for line in text.split("\n"):
@@ -139,10 +137,13 @@ def of_text(text: str, index: "Index", inside: float = 0.85, held: float = 0.8)
 
 def judge(passage: str, index: Index, inside: float = 0.85, held: float = 0.8) -> str | None:
     """The kind of residue a passage is, or None."""
-    place = PLACES.search(passage)
-    if place:
+    if PLACES.search(passage):
         return "unfilled place"
-    ts = terms(CODES.sub(" ", passage) if "<" in passage or "{" in passage else passage)
+    if "<" in passage or "{" in passage:
+        passage = CODES.sub(" ", passage)
+    if "&" in passage:
+        passage = html.unescape(passage)
+    ts = terms(passage)
     if not ts:
         return None
     get = index.weight.get
@@ -159,17 +160,18 @@ def judge(passage: str, index: Index, inside: float = 0.85, held: float = 0.8) -
             seen[k] += index.weight[t] * min(count[t], index.exemplars[k][1][t])
     left, kind, covered = Counter(count), None, 0.0
     for k, w in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-        if w < held * index.exemplars[k][2]:
-            continue
-        took = 0.0
-        for t, n in index.exemplars[k][1].items():
-            m = min(n, left[t])
-            if m:
+        name, words, whole = index.exemplars[k]
+        while w >= held * whole:  # an exemplar may be there more than once
+            took = 0.0
+            for t, n in words.items():
+                m = min(n, left[t])
                 left[t] -= m
                 took += m * index.weight[t]
-        if took:
-            kind = kind or index.exemplars[k][0]
+            if not took:
+                break
+            kind = kind or name
             covered += took
+            w = sum(index.weight[t] * min(left[t], n) for t, n in words.items())
     # values are worth nothing once an exemplar is held: any number of them may follow
     if kind and left["zvaluez"]:
         total -= left["zvaluez"] * index.weight.get("zvaluez", 0.0)

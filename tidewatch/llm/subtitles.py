@@ -8,8 +8,8 @@ import unicodedata
 
 #: Signs that recognition takes for one another share a letter; fixed values.
 LOOKALIKE = {"e": "c", "l": "i", "1": "i", "|": "i", "0": "o", "t": "f", "h": "b", "8": "b", "5": "s"}
-#: Pairs of letters read as one, in the letters that LOOKALIKE leaves; fixed values.
-JOINED = (("vv", "w"), ("ii", "u"), ("ri", "n"), ("rn", "m"), ("ci", "d"))
+#: Letters that recognition takes apart, as the strokes it reads, in the letters that LOOKALIKE leaves; fixed values.
+STROKES = (("m", "rn"), ("n", "ri"), ("u", "ii"), ("d", "ci"), ("w", "vv"))
 
 LINE_ENDS = re.compile(r"\r\n?")
 TIMING = re.compile(r"(?m)(?:^[^\S\n]*\W{0,3}\d{1,7}[^\S\n]*\n)?^.*-->.*$")
@@ -42,27 +42,26 @@ def fold(text: str) -> str:
     """Folded text: equal for a word and what recognition errors, lost accents or a wrong encoding make of it.
 
     Whatever isn't ASCII is left out, so an accented letter, its replacement sign and its mojibake agree;
-    look-alike letters become one. Different words may agree too; callers compare many in a row.
+    look-alike letters become one, and letters read as two are written as their strokes. Different words may agree too; callers compare many in a row.
     """
     if not text.isascii():
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = ALONE.sub(_alone, text.replace("–", " ").replace("—", " ").replace("…", " "))
-    return _joined(text, FOLDED)
+    return _strokes(text, FOLDED)
 
 
 def rough(text: str) -> str:
     """As :func:`fold`, but all digits are 9; cheaper, to sort out what needs no closer look."""
-    return _joined(text, ROUGH)
+    return _strokes(text, ROUGH)
 
 
-def _joined(text: str, table: bytes) -> str:
+def _strokes(text: str, table: bytes) -> str:
     if "?" in text:
         text = LOST.sub("", text)
     text = text.encode("ascii", "ignore").translate(table, APOSTROPHES).decode("ascii")
-    for _ in range(2):
-        for pair, one in JOINED:
-            text = text.replace(pair, one)
+    for letter, strokes in STROKES:
+        text = text.replace(letter, strokes)
     return text
 
 
