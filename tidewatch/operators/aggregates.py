@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import EngineConfig
@@ -93,5 +93,6 @@ def empty_stats(readings: DataFrame) -> DataFrame:
 
 def panes(aggregates: DataFrame) -> DataFrame:
     """Adds ``is_first`` and ``is_last`` to a history of panes by the lowest and highest index of each identifier."""
-    w = Window.partitionBy("aggregate_id")
-    return aggregates.withColumns({"is_first": F.col("pane_index") == F.min("pane_index").over(w), "is_last": F.col("pane_index") == F.max("pane_index").over(w)})
+    ends = aggregates.groupBy(F.col("aggregate_id").alias("e_id")).agg(F.min("pane_index").alias("e_first"), F.max("pane_index").alias("e_last"))
+    marks = {"is_first": F.col("pane_index") == F.col("e_first"), "is_last": F.col("pane_index") == F.col("e_last")}
+    return aggregates.join(ends, F.col("aggregate_id").eqNullSafe(F.col("e_id"))).withColumns(marks).drop("e_id", "e_first", "e_last")

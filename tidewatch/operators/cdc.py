@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.shared import fresh, partitions_for
+from tidewatch.shared import delete_path, fresh, partitions_for
 
 LOWEST = -(2**63)
 
@@ -111,6 +111,19 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{_pointer(spark, base)}")
 
 
+def vacuum(spark: SparkSession, root: str, name: str) -> int:
+    """Delete all versions of a published table but the current one; for when no reader holds an older one."""
+    base = f"{root.rstrip('/')}/{name}"
+    current, gone = _pointer(spark, base), 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+        leaf = status.getPath().getName()
+        if leaf.startswith("v-") and leaf != current:
+            delete_path(spark, status.getPath().toString())
+            gone += 1
+    return gone
+
+
 def _pointer(spark: SparkSession, base: str) -> str:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{base}/_CURRENT")

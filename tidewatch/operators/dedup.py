@@ -6,6 +6,9 @@ are the identifier. A shard's open-addressing table stores the complete remainde
 identifier once; a found remainder is then compared by the identity's whole text, so that two identities
 whose digests agree stay apart. There are no false matches.
 
+A shard is a range of quotients; a task handles its shards one after the other, so the memory it needs is a
+shard's, however few tasks there are.
+
 Each map task first runs a table over its Arrow batch, so that of a message with a third of all rows only
 one copy per batch is sent to its shard; the copies that lost are spread over all shards.
 """
@@ -21,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.shared import fresh, partitions_for
+from tidewatch.shared import fresh, input_bytes, partitions_for
 
 LAST = np.iinfo(np.int64).max
+#: A shard's input, as files have it; its table and rows take some ten times as much.
+SHARD_BYTES = 16 << 20
 _U = np.uint64
 
 
@@ -62,10 +67,8 @@ class QuotientTable:
         self.lost = np.empty(0, bool)
 
     def _same_text(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if not len(a):
-            return np.empty(0, bool)
-        texts = self.texts[0] if len(self.texts) == 1 else pa.chunked_array(self.texts)
-        return np.asarray(pc.equal(texts.take(pa.array(a)), texts.take(pa.array(b))).to_numpy(zero_copy_only=False), bool) if isinstance(texts, pa.Array) else np.asarray(pc.equal(texts.take(pa.array(a)), texts.take(pa.array(b))).to_numpy(), bool)
+        texts = pa.chunked_array(self.texts)
+        return np.asarray(pc.equal(texts.take(pa.array(a)), texts.take(pa.array(b))).to_numpy(), bool)
 
     def _grow(self, coming: int) -> None:
         need = 1 << max(12, int(2 * (self.used + coming)).bit_length())
@@ -127,18 +130,21 @@ def identity_text(cols: Sequence[str]) -> Column:
     return F.concat(*head, F.col(cols[-1]).cast("string")) if head else F.col(cols[-1]).cast("string")
 
 
-def mark_copies(df: DataFrame, id_cols: Sequence[str], order_time: str, order_id: str, *, out: str = "is_copy", partitions: int | None = None) -> DataFrame:
+def mark_copies(df: DataFrame, id_cols: Sequence[str], order_time: str, order_id: str, *, out: str = "is_copy", partitions: int | None = None, shards_each: int | None = None) -> DataFrame:
     """``df`` with a column ``out``: true for every copy of a message but the one to keep.
 
     A message is identified by ``id_cols`` together. Null in the last of them: each such row is its own
     message and is kept; null in another is a value like any other. Kept is the copy with the earliest
     ``order_time`` (null last), then the smallest ``order_id`` (null last; among full ties any one).
     All rows come out, none twice. Any further columns pass through whatever they are called; an empty
-    table gives an empty table. ``order_time`` may be a timestamp or a number.
+    table gives an empty table. ``order_time`` may be a timestamp or a number. Shards are made for about
+    ``SHARD_BYTES`` of input each; ``partitions`` and ``shards_each`` set their numbers by hand.
     """
     cols = df.columns
     text, h1, h2, o1, o2 = (fresh(x, cols, [out]) for x in ("q_text", "q_h1", "q_h2", "q_o1", "q_o2"))
-    n = partitions or partitions_for(df)
+    n = partitions or partitions_for(df, SHARD_BYTES, most=20_000)
+    each = shards_each or max(1, -(-input_bytes(df) // (n * SHARD_BYTES)) if not partitions else 1)
+    shards = n * each
     time = F.unix_micros(order_time) if isinstance(df.schema[order_time].dataType, T.TimestampType) else F.col(order_time).cast("long")
     keyed = df.withColumn(text, identity_text(id_cols)).withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text), o1: time, o2: F.col(order_id).cast("long")})
     shard, lost = fresh("q_shard", cols, [out]), out
@@ -156,27 +162,37 @@ def mark_copies(df: DataFrame, id_cols: Sequence[str], order_time: str, order_id
             table = QuotientTable()
             known = np.asarray(t.is_valid())
             table.insert(hi, lo, a, c, t, known)
-            to = ((hi >> _U(32)) * _U(n) >> _U(32)).astype(np.int32)  # the quotient
+            to = ((hi >> _U(32)) * _U(shards) >> _U(32)).astype(np.int32)  # the quotient
             free = table.lost | ~known
-            to[free] = (np.arange(int(free.sum())) + spread + int(a[0] if len(a) else 0)) % n
+            to[free] = (np.arange(int(free.sum())) + spread + int(a[0] if len(a) else 0)) % shards
             spread += int(free.sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to), pa.array(table.lost)], names=[*b.schema.names, shard, lost])
 
-    def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = QuotientTable(), []
-        for b in batches:
-            hi, lo, a, c, t = lanes(b)
-            before = np.asarray(b[lost].to_numpy(zero_copy_only=False), bool)
-            table.insert(hi, lo, a, c, t, np.asarray(t.is_valid()) & ~before)
-            held.append((b.select(cols), before))
+    def flagged(table: QuotientTable, held: list) -> Iterator[pa.RecordBatch]:
         at = 0
         for b, before in held:
             flags = table.lost[at : at + len(before)] | before
             at += len(before)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags)], names=[*cols, lost])
 
-    sent = keyed.mapInArrow(local, mid)
-    return sent.repartitionById(n, F.col(shard)).mapInArrow(sharded, final)
+    def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table, held = None, QuotientTable(), []
+        for whole in batches:
+            to = _lane(whole[shard])
+            cuts = np.flatnonzero(np.diff(to)) + 1 if each > 1 else []
+            for start, end in zip([0, *cuts], [*cuts, len(to)]):
+                if each > 1 and end > start and to[start] != now:
+                    yield from flagged(table, held)
+                    now, table, held = to[start], QuotientTable(), []
+                b = whole.slice(start, end - start)
+                hi, lo, a, c, t = lanes(b)
+                before = np.asarray(b[lost].to_numpy(zero_copy_only=False), bool)
+                table.insert(hi, lo, a, c, t, np.asarray(t.is_valid()) & ~before)
+                held.append((b.select(cols), before))
+        yield from flagged(table, held)
+
+    sent = keyed.mapInArrow(local, mid).repartitionById(n, (F.col(shard) / each).cast("int"))
+    return (sent.sortWithinPartitions(shard) if each > 1 else sent).mapInArrow(sharded, final)
 
 
 def kept_once(df: DataFrame, id_cols: Sequence[str], order_time: str, order_id: str, **kw) -> DataFrame:

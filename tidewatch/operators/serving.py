@@ -72,9 +72,10 @@ def unexpected_assets(verdict: DataFrame, expected: DataFrame) -> DataFrame:
 
 def fleet_checks(checked: DataFrame, unexpected: DataFrame) -> DataFrame:
     """One row: whether all is as expected, and whether both verdicts occur."""
-    one = checked.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("all_ok"), (F.count_distinct("observed_air_leak") == 2).alias("separation_observed"), F.count("*").alias("assets"))
-    other = unexpected.agg(F.count("*").alias("unexpected"))
-    return one.join(F.broadcast(other), F.lit(True)).select((F.col("all_ok") & (F.col("unexpected") == 0)).alias("ok"), "separation_observed", "assets", "unexpected")
+    rows = checked.select("ok", "observed_air_leak", F.lit(False).alias("extra"))
+    rows = rows.unionByName(unexpected.select(F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("boolean").alias("observed_air_leak"), F.lit(True).alias("extra")))
+    extra = F.count_if(F.col("extra"))
+    return rows.agg((F.coalesce(F.bool_and("ok"), F.lit(True)) & (extra == 0)).alias("ok"), (F.count_distinct("observed_air_leak") == 2).alias("separation_observed"), F.count_if(~F.col("extra")).alias("assets"), extra.alias("unexpected"))
 
 
 def multi_pane_ids(history: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def _side(v: np.ndarray, group: np.ndarray, t: np.ndarray, k: int, step: int, re
     """Median, MAD and count of the ``k`` readings on one side (``step`` -1 or 1) within ``reach``."""
     n = len(v)
     near = np.full((n, k), np.inf)
-    for j in range(1, k + 1):
+    for j in range(1, min(k, n - 1) + 1):
         a, b = (slice(j, n), slice(0, n - j)) if step < 0 else (slice(0, n - j), slice(j, n))
         ok = (group[a] == group[b]) & (np.abs(t[a] - t[b]) <= reach)
         near[a, j - 1] = np.where(ok, v[b], np.inf)

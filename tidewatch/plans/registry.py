@@ -124,7 +124,7 @@ def registry_join(spark, sf_dir):
     """Readings by what the registry says of their channel, in whatever spelling it came."""
     reg = table(spark, sf_dir, "stream_registry").select(F.lower("channel").alias("r_channel"), F.col("stream").alias("r_stream"), F.col("unit").alias("r_unit"), "schema_version")
     sent = table(spark, sf_dir, "sensor_readings").select("stream", F.lower(F.trim("channel")).alias("c"))
-    joined = sent.join(F.broadcast(reg), F.col("c") == F.col("r_channel"), "left")  # the registry has a row per stream
+    joined = sent.join(reg, F.col("c") == F.col("r_channel"), "left")
     return joined.groupBy("r_stream", "r_unit").agg(F.count("*").alias("readings"), F.count_if(F.col("stream") == F.col("r_stream")).alias("agreeing"))
 
 
