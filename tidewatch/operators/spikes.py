@@ -59,15 +59,16 @@ def _by_group(x: np.ndarray, group: np.ndarray, groups: int, share: float = 0.0,
     return np.where(ok, x[order][np.clip(at, 0, max(len(x) - 1, 0))] if len(x) else -np.inf, -np.inf)
 
 
-def spikes(v: np.ndarray, group: np.ndarray, t: np.ndarray, *, side: int = 7, factor: float = 4.0, reach: int = 1_800_000_000, around: int = 150, own: int = 4, usual: int = 4, alike: float = 0.1) -> np.ndarray:
+def spikes(v: np.ndarray, group: np.ndarray, t: np.ndarray, *, side: int = 7, factor: float = 4.0, reach: int = 1_800_000_000, around: int = 150, own: int = 4, usual: int = 4, alike: float = 0.1, switches: int = 4) -> np.ndarray:
     """Which readings are spikes; ``group`` numbers sources from 0 in order, each sorted by ``t`` (microseconds).
 
     ``side`` readings before and after, no farther than ``reach``, make the two rolling windows. A candidate
     lies more than ``factor`` scatters from both medians; the scatter is the larger of the window's MAD and
     the source's usual one, the 9th decile of its windows' MADs, as an operating state can be noisier than
-    another. A candidate is a normal state if at least ``usual`` readings among the ``around`` on either
-    side, the ``own`` next ones left out, lie within ``alike`` of its distance from the medians; where the
-    source switches states, that is, has made lasting moves at least half as far, all its readings count.
+    another. Where the source switches states, having made two or more lasting moves at least half as far
+    within this block, a candidate is a normal state if at least ``usual`` readings among the ``around`` on
+    either side, the ``own`` next ones left out, lie within ``alike`` of its distance from the medians;
+    after ``switches`` such moves, if that many of all its readings do.
     """
     n = len(v)
     if not n:
@@ -84,29 +85,32 @@ def spikes(v: np.ndarray, group: np.ndarray, t: np.ndarray, *, side: int = 7, fa
         # at a series' end the one side there is decides
         hit = np.flatnonzero(np.where(nb >= 3, far_b, na >= 3) & np.where(na >= 3, far_a, nb >= 3))
         off = np.minimum(np.where(nb >= 3, before, np.inf), np.where(na >= 3, after, np.inf))[hit]
+    rest = np.ones(n, bool)
+    rest[hit] = False
+    lasting = np.flatnonzero(rest[1:] & rest[:-1] & (group[1:] == group[:-1]) & (np.diff(t) <= reach // 6))
+    sizes = np.abs(np.diff(v))[lasting]
+    some, many = (_by_group(sizes, group[lasting], groups, from_top=k - 1) for k in (2, switches))
+    at = np.flatnonzero(rest)
+    order = np.lexsort((v[at], group[at]))
+    level, ends = v[at][order], np.r_[0, np.cumsum(np.bincount(group[at], minlength=groups))]
     out = np.zeros(n, bool)
+    out[hit] = True
+    near = np.maximum(alike * off, 2 * typical[hit])
     shift = np.r_[np.arange(-around, -own), np.arange(own + 1, around + 1)]
-    for lo in range(0, len(hit), 4096):
-        i = hit[lo : lo + 4096]
+    moving = np.flatnonzero(off <= 2 * some[group[hit]])
+    for lo in range(0, len(moving), 4096):
+        m = moving[lo : lo + 4096]
+        i = hit[m]
         j = i[:, None] + shift
         ok = (j >= 0) & (j < n)
         j = np.clip(j, 0, n - 1)
         ok &= (group[j] == group[i][:, None]) & (np.abs(t[j] - t[i][:, None]) <= 2 * reach)
-        near = np.maximum(alike * off[lo : lo + 4096], 4 * typical[i])[:, None]
-        out[i] = (ok & (np.abs(v[j] - v[i][:, None]) <= near)).sum(axis=1) < usual
-    if not out.any():
-        return out
-    rest = np.ones(n, bool)
-    rest[hit] = False
-    lasting = np.flatnonzero(rest[1:] & rest[:-1] & (group[1:] == group[:-1]))
-    second = _by_group(np.abs(np.diff(v))[lasting], group[lasting], groups, from_top=1)
-    at = np.flatnonzero(rest)
-    order = np.lexsort((v[at], group[at]))
-    level, ends = v[at][order], np.r_[0, np.cumsum(np.bincount(group[at], minlength=groups))]
-    for i, far in zip(hit, off):
-        if out[i] and far <= 2 * second[group[i]]:
-            mine, near = level[ends[group[i]] : ends[group[i] + 1]], max(alike * far, 4 * typical[i])
-            out[i] = np.searchsorted(mine, v[i] + near, "right") - np.searchsorted(mine, v[i] - near, "left") < usual
+        out[i] = (ok & (np.abs(v[j] - v[i][:, None]) <= near[m][:, None])).sum(axis=1) < usual
+    for m in moving:
+        i = hit[m]
+        if out[i] and off[m] <= 2 * many[group[i]]:
+            mine = level[ends[group[i]] : ends[group[i] + 1]]
+            out[i] = np.searchsorted(mine, v[i] + near[m], "right") - np.searchsorted(mine, v[i] - near[m], "left") < usual
     return out
 
 
