@@ -1,6 +1,6 @@
-"""Queries of the text problems (p7 to p9) and their SQL.
+"""Queries of the problems of this package (p3, p7, p8, p9) and their SQL.
 
-SQL can't say these (look-alike folding, a tokenizer, an iteration); they are tested against brute force.
+SQL can't say p7 to p9 (look-alike folding, a tokenizer, an iteration); they are tested against brute force.
 """
 
 from __future__ import annotations
@@ -8,14 +8,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import leaks, mixing, residue
+from tidewatch.llm import leaks, mixing, percentiles, residue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles per stream and asset."""
+    return percentiles.group_percentiles(table(spark, sf_dir, "sensor_readings").select("stream", "asset_id", "value"), ("stream", "asset_id"), "value")
+
+
+def p3_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from summaries of single days, within the stated error bound."""
+    sent = table(spark, sf_dir, "sensor_readings").select("stream", "asset_id", "value", F.floor(F.unix_micros("event_time") / F.lit(86_400_000_000)).cast("long").alias("day"))
+    return percentiles.combined(percentiles.slice_summaries(sent, ("stream", "asset_id"), "day", "value", points=64), ("stream", "asset_id"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaking documents, the items they leak and the longest run of each."""
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -52,9 +64,27 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(documents).groupBy("source", "lang").count().withColumnRenamed("count", "documents")
 
 
+PERMILLE = "(VALUES (100), (500), (900), (990)) AS p(permille)"
+
+P3_PERCENTILES = f"""WITH ranked AS (
+  SELECT stream, asset_id, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY stream, asset_id) AS n
+  FROM sensor_readings WHERE value IS NOT NULL AND isfinite(value) WINDOW w AS (PARTITION BY stream, asset_id ORDER BY value))
+SELECT stream, asset_id, CAST(permille AS INTEGER) AS permille, n AS readings, value AS percentile FROM ranked, {PERMILLE}
+WHERE rn = greatest(1, (permille * n + 999) // 1000)"""
+
+P3_COMBINED = f"""WITH ranked AS (
+  SELECT stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE) AS day, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE)) AS n
+  FROM sensor_readings WHERE value IS NOT NULL AND isfinite(value) WINDOW w AS (PARTITION BY stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE) ORDER BY value)),
+points AS (SELECT stream, asset_id, value, rn - lag(rn, 1, 0) OVER (PARTITION BY stream, asset_id, day ORDER BY rn) AS weight
+  FROM (SELECT DISTINCT stream, asset_id, day, value, rn FROM ranked, range(1, 65) AS g(i) WHERE rn = greatest(1, (i * n + 63) // 64))),
+summed AS (SELECT stream, asset_id, value, sum(weight) AS weight FROM points GROUP BY ALL),
+run AS (SELECT *, sum(weight) OVER (PARTITION BY stream, asset_id ORDER BY value) AS upto, sum(weight) OVER (PARTITION BY stream, asset_id) AS total FROM summed)
+SELECT stream, asset_id, CAST(permille AS INTEGER) AS permille, CAST(max(total) AS BIGINT) AS readings, min(value) AS percentile FROM run, {PERMILLE}
+WHERE upto >= greatest(1, (permille * total + 999) // 1000) GROUP BY stream, asset_id, permille"""
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_residue": p9_residue, "p9_clean": p9_clean}
+    return {"p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_residue": p9_residue, "p9_clean": p9_clean}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_percentiles": P3_PERCENTILES, "p3_combined": P3_COMBINED}
