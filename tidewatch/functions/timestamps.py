@@ -24,9 +24,9 @@ def parse_iso(text: Column | str) -> Column:
 
 
 def format_iso(ts: Column | str) -> Column:
-    """UTC with Z; microseconds only where there are some (needs a UTC session)."""
+    """UTC with Z, in a session of any time zone; microseconds only where there are some."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    whole = F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
     return F.concat(whole, F.when(micros == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))), F.lit("Z"))
 

@@ -1,4 +1,4 @@
-"""Queries of the general problems (p1 to p6) and their SQL."""
+"""Queries of the general problems (p1, p2, p4, p5, p6) and their SQL."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timestamps import parse_iso
-from tidewatch.operators import cdc, grid, late, percentiles, spikes
+from tidewatch.operators import cdc, grid, late, spikes
 from tidewatch.operators.dedup import extra_copies, kept_once, mark_copies
 from tidewatch.shared import shared_dir
 
@@ -70,17 +70,6 @@ def p2_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("aggregate_id", *CHANGE, *[F.unix_micros(c).alias(c + "_us") if c == "emitted_at" else c for c in SHOWN])
 
 
-def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles per stream and asset."""
-    return percentiles.group_percentiles(table(spark, sf_dir, "sensor_readings").select("stream", "asset_id", "value"), ("stream", "asset_id"), "value")
-
-
-def p3_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from summaries of single days, within the stated error bound."""
-    sent = table(spark, sf_dir, "sensor_readings").select("stream", "asset_id", "value", F.to_date("event_time").alias("day"))
-    return percentiles.combined(percentiles.slice_summaries(sent, ("stream", "asset_id"), "day", "value", points=64), ("stream", "asset_id"))
-
-
 def _series(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     sent = table(spark, sf_dir, "sensor_readings").select(*SOURCE, "value", parse_iso("source_event_time").alias("at"))
     return grid.regular_series(sent, SOURCE, time="at", **kw)
@@ -151,24 +140,6 @@ P2_SERVING = f"""WITH {NEWEST} SELECT aggregate_id, pane_index, change_id, metri
   air_leak_suspected FROM newest"""
 
 
-PERMILLE = "(VALUES (100), (500), (900), (990)) AS p(permille)"
-
-P3_PERCENTILES = f"""WITH ranked AS (
-  SELECT stream, asset_id, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY stream, asset_id) AS n
-  FROM sensor_readings WHERE value IS NOT NULL AND isfinite(value) WINDOW w AS (PARTITION BY stream, asset_id ORDER BY value))
-SELECT stream, asset_id, CAST(permille AS INTEGER) AS permille, n AS readings, value AS percentile FROM ranked, {PERMILLE}
-WHERE rn = greatest(1, (permille * n + 999) // 1000)"""
-
-P3_COMBINED = f"""WITH ranked AS (
-  SELECT stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE) AS day, value, row_number() OVER w AS rn, count(*) OVER (PARTITION BY stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE)) AS n
-  FROM sensor_readings WHERE value IS NOT NULL AND isfinite(value) WINDOW w AS (PARTITION BY stream, asset_id, CAST(make_timestamp(epoch_us(event_time)) AS DATE) ORDER BY value)),
-points AS (SELECT stream, asset_id, value, rn - lag(rn, 1, 0) OVER (PARTITION BY stream, asset_id, day ORDER BY rn) AS weight
-  FROM (SELECT DISTINCT stream, asset_id, day, value, rn FROM ranked, range(1, 65) AS g(i) WHERE rn = greatest(1, (i * n + 63) // 64))),
-summed AS (SELECT stream, asset_id, value, sum(weight) AS weight FROM points GROUP BY ALL),
-run AS (SELECT *, sum(weight) OVER (PARTITION BY stream, asset_id ORDER BY value) AS upto, sum(weight) OVER (PARTITION BY stream, asset_id) AS total FROM summed)
-SELECT stream, asset_id, CAST(permille AS INTEGER) AS permille, CAST(max(total) AS BIGINT) AS readings, min(value) AS percentile FROM run, {PERMILLE}
-WHERE upto >= greatest(1, (permille * total + 999) // 1000) GROUP BY stream, asset_id, permille"""
-
 P4_FOUND = r"""WITH slots AS (
   SELECT DISTINCT asset_id, stream, CAST(epoch(moment) AS BIGINT) // 60 * 60 AS slot_s FROM (
     SELECT asset_id, stream, value, date_trunc('minute', TRY_CAST(CASE WHEN regexp_matches(source_event_time, '(Z|[+-]\d\d:?\d\d)$') AND length(source_event_time) > 10
@@ -179,8 +150,8 @@ SELECT asset_id, stream, unnest(range(slot_s + 60, next_s, 60)) AS slot_s FROM s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_windows": p1_windows, "p2_found": p2_found, "p2_serving": p2_serving, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found, "p5_readings": p5_readings, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_windows": p1_windows, "p2_found": p2_found, "p2_serving": p2_serving, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found, "p5_readings": p5_readings, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_serving": P2_SERVING, "p3_percentiles": P3_PERCENTILES, "p3_combined": P3_COMBINED, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_serving": P2_SERVING, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
