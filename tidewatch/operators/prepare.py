@@ -71,3 +71,24 @@ def asset_span(rows: DataFrame, time: str = "at") -> DataFrame:
     seconds = (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / F.lit(1e6)
     return rows.groupBy("asset_id").agg(format_iso(F.min(time)).alias("first_time"), format_iso(F.max(time)).alias("last_time"), seconds.alias("duration_s"))
 
+
+def rows_as_expected(rows: DataFrame, segments: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """``asset_id``, ``rows``, ``expected``, ``ok``: rows per asset in its segments against what is known of the source."""
+    got = in_segments(rows, segments).groupBy(F.col("asset_id").alias("g_asset")).agg(F.count("*").alias("rows"))
+    want = rows.sparkSession.createDataFrame(sorted(expected.items()), "asset_id string, expected long")
+    joined = want.join(got, F.col("asset_id") == F.col("g_asset"), "left")
+    return joined.select("asset_id", F.coalesce("rows", F.lit(0)).alias("rows"), "expected", (F.coalesce("rows", F.lit(0)) == F.col("expected")).alias("ok"))
+
+
+def cut_fleet(source: DataFrame, segments: DataFrame, time: str = "timestamp") -> DataFrame:
+    """Wide rows of one machine's record as a fleet: each segment's rows get the segment's asset.
+
+    ``source`` has a timestamp column and the channels; a row in two segments comes out for both. Days are
+    joined first, as in :func:`in_segments`.
+    """
+    s = segments.distinct().select("asset_id", parse_iso("starts_at").alias("s_from"), parse_iso("ends_at").alias("s_to")).where("s_from < s_to")
+    days = s.withColumn("s_day", F.explode(F.sequence(F.to_date("s_from"), F.to_date("s_to"))))
+    timed = source.withColumn("at_day", F.to_date(time))
+    on = (F.col("at_day") == F.col("s_day")) & (F.col(time) >= F.col("s_from")) & (F.col(time) < F.col("s_to"))
+    channels = [F.col(c).alias(channel_column(c)) for _, c, _, _ in STREAMS]
+    return timed.join(days, on).select("asset_id", format_iso(time).alias("source_event_time"), *channels).orderBy("asset_id", "source_event_time")

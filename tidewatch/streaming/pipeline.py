@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -50,10 +52,18 @@ class ServingSink:
         cdc.publish(serving.upsert(stored, rows, "arrival"), self.root, self.name)
 
 
-def start(stream: DataFrame, root: str, checkpoint: str, config: EngineConfig = EngineConfig(), *, once: bool = False) -> StreamingQuery:
-    """Start the job on a stream of flat readings; ``once`` ends it when the source is read to its end."""
+def kafka_sink(config: EngineConfig, topic: str, key: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` target that sends rows to a topic as canonical JSON under the key column."""
+    return lambda batch, batch_id: readers.kafka_batch_sink(admit.kafka_record(batch, F.coalesce(key, F.lit(""))), config.bootstrap_servers, topic)
+
+
+def start(stream: DataFrame, root: str, checkpoint: str, config: EngineConfig = EngineConfig(), *, once: bool = False, sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Start the job on a stream of flat readings; ``once`` ends it when the source is read to its end.
+
+    ``sink`` takes each micro-batch's changed aggregates instead of the serving table under ``root``.
+    """
     main = admit.with_units(admit.admitted(admit.admit_columns(stream, config)).drop("lag_s"))
-    writer = update_aggregates(main, config).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(ServingSink(root))
+    writer = update_aggregates(main, config).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink or ServingSink(root))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.early_firing_seconds} seconds")).start()
 
 
@@ -72,6 +82,36 @@ def start_wire(stream: DataFrame, root: str, checkpoint: str, config: EngineConf
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+#: What the materializer reads of an aggregate's message.
+AGGREGATE = "schema_version int, aggregate_id string, metric_type string, asset_id string, stream string, unit string, window_start string, window_end string, pane_index int, pane_timing string, is_first boolean, is_last boolean, emitted_at string, corrections_close_at string, readings long, value_mean double, value_min double, value_max double, value_stddev double, motor_readings long, running_ratio double, oil_temperature_mean double, air_leak_suspected boolean"
+
+
+def start_materializer(messages: DataFrame, root: str, checkpoint: str, *, once: bool = False, idle_order: str | None = None) -> StreamingQuery:
+    """Upsert aggregates that come as JSON messages (column ``value``) into the published table under ``root``.
+
+    Messages that aren't JSON, or lack identifier or pane, are counted in ``errors`` and skipped. Within a
+    micro-batch, ``idle_order`` (a message time, say) orders messages of equal pane.
+    """
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        within = F.unix_micros(idle_order) if idle_order else F.monotonically_increasing_id()
+        parsed = batch.select(F.from_json(F.col("value").cast("string"), AGGREGATE).alias("a"), within.alias("within"))
+        good = F.coalesce(F.col("a.aggregate_id").isNotNull() & F.col("a.pane_index").isNotNull(), F.lit(False))
+        rows = parsed.where(good).select("a.*", F.struct(F.lit(batch_id).cast("long").alias("batch"), F.col("within").cast("long").alias("within")).alias("arrival"))
+        parsed.agg(F.lit(batch_id).alias("batch"), F.count("*").alias("messages_seen"), F.count_if(~good).alias("errors")).write.mode("overwrite").parquet(f"{root}/counters/batch={batch_id}")
+        try:
+            stored = cdc.read_published(spark, root, "aggregates")
+        except Exception as error:
+            if "FileNotFound" not in str(error) and "does not exist" not in str(error):
+                raise
+            stored = rows.limit(0)
+        cdc.publish(serving.upsert(stored, rows, "arrival"), root, "aggregates")
+
+    writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def start_kafka(spark: SparkSession, root: str, checkpoint: str, config: EngineConfig = EngineConfig(), **kw) -> StreamingQuery:
     """The same from the raw topic; needs the connector on the class path."""
     return start_wire(readers.kafka_stream(spark, config.bootstrap_servers, config.raw_topic), root, checkpoint, config, **kw)
