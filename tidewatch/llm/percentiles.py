@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 from tidewatch.operators.late import finite
 from tidewatch.shared import written
 
-#: A round's targets are broadcast up to this many; beyond it they are joined by group with a shuffle.
-BROADCAST_TARGETS = 50_000
+#: A round's targets, 32 bytes each, are broadcast up to this many; beyond it they are joined by group with a shuffle.
+BROADCAST_TARGETS = 500_000
 RUN_VALUES = 262_144
+RUN_SALTS = 4
 
 
 def sorted_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -64,21 +65,45 @@ def sorted_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return named.mapInArrow(local, out)
 
 
-def _inside(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    return v[np.searchsorted(v, low, "right") : np.searchsorted(v, high, "left")]
+class _Open:
+    """A batch of runs with their groups' open targets, as flat arrays."""
 
+    def __init__(self, b: pa.RecordBatch) -> None:
+        self.values, self.at = b["vals"].values.to_numpy(), b["vals"].offsets.to_numpy()
+        targets = b["open"].values
+        self.to = b["open"].offsets.to_numpy()
+        self.t_id, self.low, self.high, self.pivot = (targets.field(c).to_numpy(zero_copy_only=False) for c in ("t_id", "low", "high", "pivot"))
 
-def _middle(v: np.ndarray) -> float | None:
-    return float(v[(len(v) - 1) // 2]) if len(v) else None
+    def __iter__(self) -> Iterator[tuple]:
+        """Per run: its number, its values, its targets' slice, and where each target's open range begins and ends in it."""
+        for i in range(len(self.at) - 1):
+            v, t = self.values[self.at[i] : self.at[i + 1]], slice(self.to[i], self.to[i + 1])
+            begin = np.searchsorted(v, self.low[t], "right")
+            yield i, v, t, begin, np.maximum(begin, np.searchsorted(v, self.high[t], "left"))
+
+
+def _middles(v: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Lower medians of slices; NaN of empty ones."""
+    mid = v[np.minimum(begin + np.maximum(end - begin - 1, 0) // 2, len(v) - 1)]
+    return np.where(end > begin, mid, np.nan)
 
 
 def _joined(runs: DataFrame, state: DataFrame, k: list[str], targets: int) -> DataFrame:
-    """Runs with their group's open targets; runs of groups that are done drop out."""
+    """Runs with their group's open targets; runs of groups that are done drop out.
+
+    Where the targets are too many to broadcast, both sides are shuffled by group and salt, so that a group
+    with a third of all runs is split.
+    """
     per = state.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("low", "high", "pivot", "t_id"))).alias("open"))
+    salt = []
     if targets <= BROADCAST_TARGETS:
         per = F.broadcast(per)
-    other = per.select(*[F.col(c).alias("o_" + c) for c in k], "open")
-    on = [F.col(c).eqNullSafe(F.col("o_" + c)) for c in k]
+    else:
+        per = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RUN_SALTS - 1))))
+        runs = runs.withColumn("salt", F.pmod(F.xxhash64(F.element_at("vals", 1), F.size("vals")), F.lit(RUN_SALTS)).cast("int"))
+        salt = ["salt"]
+    other = per.select(*[F.col(c).alias("o_" + c) for c in [*k, *salt]], "open")
+    on = [F.col(c).eqNullSafe(F.col("o_" + c)) for c in [*k, *salt]]
     return runs.join(other, on, "inner").select(*k, "vals", "open")
 
 
@@ -89,22 +114,17 @@ def _round(joined: DataFrame, k: list[str]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, got = [], {n: [] for n in ("t_id", "lt", "eq", "gt", "m_lt", "m_gt")}
-            flat = b["vals"].values.to_numpy()
-            at = b["vals"].offsets.to_numpy()
-            for i, targets in enumerate(b["open"].to_pylist()):
-                v = flat[at[i] : at[i + 1]]
-                for t in targets:
-                    c = _inside(v, t["low"], t["high"])
-                    if not len(c):
-                        continue
-                    a, z = np.searchsorted(c, t["pivot"], "left"), np.searchsorted(c, t["pivot"], "right")
-                    rows.append(i)
-                    for n, x in (("t_id", t["t_id"]), ("lt", a), ("eq", z - a), ("gt", len(c) - z), ("m_lt", _middle(c[:a])), ("m_gt", _middle(c[z:]))):
-                        got[n].append(x)
-            if rows:
-                key = b.select(k).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*key.columns, pa.array(got["t_id"], pa.int32()), *[pa.array(got[n], pa.int64()) for n in ("lt", "eq", "gt")], *[pa.array(got[n], pa.float64()) for n in ("m_lt", "m_gt")]], names=out.names)
+            opened, rows, parts = _Open(b), [], []
+            for i, v, t, begin, end in opened:
+                a = np.clip(np.searchsorted(v, opened.pivot[t], "left"), begin, end)
+                z = np.clip(np.searchsorted(v, opened.pivot[t], "right"), begin, end)
+                some = end > begin
+                rows.append(np.full(int(some.sum()), i))
+                parts.append([x[some] for x in (opened.t_id[t], a - begin, z - a, end - z, _middles(v, begin, a), _middles(v, z, end))])
+            if rows and sum(map(len, rows)):
+                ids, lt, eq, gt, m_lt, m_gt = (np.concatenate(x) for x in zip(*parts))
+                key = b.select(k).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*key.columns, pa.array(ids, pa.int32()), *[pa.array(x, pa.int64()) for x in (lt, eq, gt)], *[pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (m_lt, m_gt)]], names=out.names)
 
     counted = joined.mapInArrow(count, out)
     # the weighted median of the runs' medians; runs without a proposal have weight 0
@@ -119,16 +139,10 @@ def _shrunk(joined: DataFrame, k: list[str]) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, parts = [], []
-            flat, at = b["vals"].values.to_numpy(), b["vals"].offsets.to_numpy()
-            for i, targets in enumerate(b["open"].to_pylist()):
-                v = flat[at[i] : at[i + 1]]
-                keep = np.zeros(len(v) + 1, np.int64)
-                for t in targets:
-                    a, z = np.searchsorted(v, t["low"], "right"), np.searchsorted(v, t["high"], "left")
-                    if z > a:
-                        keep[a] += 1
-                        keep[z] -= 1
-                c = v[np.cumsum(keep[:-1]) > 0]
+            for i, v, _, begin, end in _Open(b):
+                some = end > begin
+                change = np.bincount(begin[some], minlength=len(v) + 1) - np.bincount(end[some], minlength=len(v) + 1)
+                c = v[np.cumsum(change[:-1]) > 0]
                 if len(c):
                     rows.append(i)
                     parts.append(c)
@@ -146,17 +160,16 @@ def _gathered(joined: DataFrame, state: DataFrame, k: list[str]) -> DataFrame:
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, ids, few = [], [], []
-            flat, at = b["vals"].values.to_numpy(), b["vals"].offsets.to_numpy()
-            for i, targets in enumerate(b["open"].to_pylist()):
-                for t in targets:
-                    c = _inside(flat[at[i] : at[i + 1]], t["low"], t["high"])
-                    if len(c):
-                        rows.append(i)
-                        ids.append(t["t_id"])
-                        few.append(c)
+            opened, rows, ids, few = _Open(b), [], [], []
+            for i, v, t, begin, end in opened:
+                for j in np.flatnonzero(end > begin):
+                    rows.append(i)
+                    ids.append(opened.t_id[t][j])
+                    few.append(v[begin[j] : end[j]])
             if rows:
-                yield pa.RecordBatch.from_arrays([*b.select(k).take(pa.array(rows)).columns, pa.array(ids, pa.int32()), pa.array(few, pa.list_(pa.float64()))], names=out.names)
+                offsets = np.r_[0, np.cumsum([len(c) for c in few])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(few)))
+                yield pa.RecordBatch.from_arrays([*b.select(k).take(pa.array(rows)).columns, pa.array(ids, pa.int32()), lists], names=out.names)
 
     some = joined.mapInArrow(slices, out).groupBy(*k, "t_id").agg(F.array_sort(F.flatten(F.collect_list("few"))).alias("few"))
     on = [F.col(c).eqNullSafe(F.col("s_" + c)) for c in [*k, "t_id"]]

@@ -29,7 +29,7 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "cue text", "insert dialogue here", "insert text here", "insert title here", "your text here", "untranslated", "translation here", "text goes here", "title goes here", "subtitle line goes here", "undefined", "TODO: translate this line", "TODO translate", "translate this line", "subtitle goes here",
         "escribe aquí tu texto", "texto de ejemplo", "votre texte ici", "texte à traduire", "hier text einfügen", "Beispieltext",
     ),
-    "filler": ("Sample subtitle text", "Sample text", "Dummy line 7", "Dummy text", "Test cue, please ignore", "text text text text", "bla bla bla bla", "blah blah blah blah", "xxxx xxx xxxxx", "asdf asdf jkl asdf", "test test test"),
+    "filler": ("Sample subtitle text", "Sample text", "Dummy line 7", "Dummy text", "Test cue, please ignore", "text text text text", "bla bla bla bla", "blah blah blah blah", "xxxx xxx xxxxx", "asdf asdf jkl asdf"),
     "error page": (
         "404 Not Found", "The requested URL /a/1 was not found on this server.", "Page not found", "Access Denied", 'You don\'t have permission to access "/a/1" on this server.', "Reference #1a2b3c4d", "403 Forbidden", "Error 500", "Internal Server Error", "500 Internal Server Error", "Bad gateway", "502 Bad Gateway",
         "Service temporarily unavailable", "Web server is down", "Request ID: 1a2b3c4d", "Gateway timeout", "Fatal error: Uncaught exception in /srv/app/a.inc on line 7", "Oops! Something went wrong while loading this subtitle.", "Try reloading the page or go back to the homepage.", "Sorry, this file has been removed or the link has expired. (code 1a2b3c4d)",
