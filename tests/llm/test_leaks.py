@@ -76,6 +76,17 @@ def test_damage(spark):
     assert {d for d, _ in got} == set(range(len(variants)))
 
 
+def test_music_signs_in_any_encoding_and_sharp_s():
+    from tidewatch.llm.subtitles import words
+
+    want = words("der Mann vergaß die Laterne")
+    for sign in ("♪", "â™ª", "â\x99ª", "?", "♪".encode().decode("cp1251")):
+        assert words(f"der Mann vergaß\n{sign} langsame Musik {sign}\ndie Laterne") == want, sign
+        assert words(f"der Mann\n- {sign} langsame Musik {sign} vergaß\ndie Laterne") == want, sign
+    assert words("DER MANN VERGASS DIE LATERNE") == want
+    assert words("Is it 55 or 5?\nYes?") == words("is it 55 or 5 yes") and len(words("it cost 55")) == 3
+
+
 def test_short_or_reordered_echoes_are_none(spark):
     rnd = random.Random(8)
     x = [f"word{i}x" for i in range(40)]

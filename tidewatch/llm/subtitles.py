@@ -15,6 +15,8 @@ LINE_ENDS = re.compile(r"\r\n?")
 TIMING = re.compile(r"(?m)(?:^[^\S\n]*\W{0,3}\d{1,7}[^\S\n]*\n)?^.*-->.*$")
 TAGS = re.compile(r"<[^<>\n]{1,80}>|\{[^{}\n]{1,60}\}")
 SOUNDS = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,60}\*|♪[^♪\n]{0,80}♪|#[^#\n]{1,60}#")
+#: Music between two signs, whatever an encoding has made of them, at the start of a line.
+MUSIC = re.compile(r"(?m)^(\W{0,3}?)((?=\S*[♪™ªЄ�\x80-\x9f])[^\x00-\x7f\s]{1,8}|\?)[^\S\n]+[^\n?]{1,40}?[^\S\n]+\2(?!\S)")
 ALONE = re.compile(r"(?<!\S)[^\x00-\x7f\s]+(?!\S)")
 LOST = re.compile(r"(?<=[A-Za-z])\?(?=[A-Za-z])")
 APOSTROPHES = b"'`"
@@ -59,7 +61,8 @@ def rough(text: str) -> str:
 def _strokes(text: str, table: bytes) -> str:
     if "?" in text:
         text = LOST.sub("", text)
-    text = text.encode("ascii", "ignore").translate(table, APOSTROPHES).decode("ascii")
+    # capitals write a sharp s as two
+    text = text.encode("ascii", "ignore").lower().replace(b"ss", b"").translate(table, APOSTROPHES).decode("ascii")
     for letter, strokes in STROKES:
         text = text.replace(letter, strokes)
     return text
@@ -74,7 +77,7 @@ def spoken(text: str) -> str:
         text = html.unescape(text)
     if "<" in text or "{" in text:
         text = TAGS.sub("", text)
-    return SOUNDS.sub(" ", text)
+    return SOUNDS.sub(" ", MUSIC.sub(r"\1 ", text))
 
 
 def words(text: str) -> list[str]:
