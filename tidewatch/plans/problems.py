@@ -106,6 +106,16 @@ def p5_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("delivery_id").agg(*[F.bool_or(c).alias(c) for c in ("spike", "stuck", "impossible")])
 
 
+def p5_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of these, the frozen ones."""
+    return p5_readings(spark, sf_dir).where("stuck").select("delivery_id")
+
+
+def p5_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of these, those outside their stream's bounds."""
+    return p5_readings(spark, sf_dir).where("impossible").select("delivery_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Implausible deliveries."""
     return p5_readings(spark, sf_dir).select("delivery_id")
@@ -146,6 +156,15 @@ P2_SERVING = f"""WITH {NEWEST} SELECT aggregate_id, pane_index, change_id, metri
   air_leak_suspected FROM newest"""
 
 
+P5_STUCK = f"""WITH {KEPT}, usable AS (SELECT asset_id, stream, event_id, value, delivery_id, event_time FROM kept WHERE value IS NOT NULL AND isfinite(value)),
+stepped AS (SELECT *, value IS DISTINCT FROM lag(value) OVER w AS starts, row_number() OVER w AS pos FROM usable WINDOW w AS (PARTITION BY asset_id, stream ORDER BY event_time, delivery_id)),
+runs AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY asset_id, stream ORDER BY pos) AS run FROM stepped),
+stuck AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY asset_id, stream, run) AS n FROM runs) WHERE n >= 10)
+SELECT delivery_id FROM stuck UNION SELECT c.delivery_id FROM sensor_readings c JOIN stuck s ON c.asset_id = s.asset_id AND c.event_id = s.event_id AND c.value = s.value"""
+
+P5_IMPOSSIBLE = """SELECT delivery_id FROM sensor_readings JOIN stream_registry USING (stream)
+WHERE value IS NOT NULL AND isfinite(value) AND (value < phys_min OR value > phys_max)"""
+
 P4_FOUND = r"""WITH slots AS (
   SELECT DISTINCT asset_id, stream, CAST(epoch(moment) AS BIGINT) // 60 * 60 AS slot_s FROM (
     SELECT asset_id, stream, value, date_trunc('minute', TRY_CAST(CASE WHEN regexp_matches(source_event_time, '(Z|[+-]\d\d:?\d\d)$') AND length(source_event_time) > 10
@@ -156,8 +175,8 @@ SELECT asset_id, stream, unnest(range(slot_s + 60, next_s, 60)) AS slot_s FROM s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_windows": p1_windows, "p2_found": p2_found, "p2_serving": p2_serving, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found, "p5_readings": p5_readings, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_windows": p1_windows, "p2_found": p2_found, "p2_serving": p2_serving, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found, "p5_readings": p5_readings, "p5_stuck": p5_stuck, "p5_impossible": p5_impossible, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_serving": P2_SERVING, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_serving": P2_SERVING, "p4_found": P4_FOUND, "p5_stuck": P5_STUCK, "p5_impossible": P5_IMPOSSIBLE, "p6_found": P6_FOUND}

@@ -16,12 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (tests, one machine) is a temporary folder made and set.
     """
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewatch-"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
