@@ -4,7 +4,10 @@ import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from tidewatch.config import EngineConfig
 from tidewatch.operators import cdc
 from tidewatch.streaming import pipeline
 
@@ -69,3 +72,27 @@ def test_counters(spark, steps, tmp_path):
     finally:
         spark.streams.removeListener(counters)
     assert counters.input_rows == len(STEPS) and counters.duplicates_dropped == 1
+
+
+def test_replayed_panes_are_the_stream_s(spark, steps):
+    """The steps' readings in one table give the panes that one step per trigger gives."""
+    cols = ["asset_id", "stream", "window_s", "pane_index", "pane_timing", "is_first", "is_last", "readings", "value_mean", "value_min", "value_max", "value_stddev"]
+    rows = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
+    feed = spark.read.schema(READING).parquet(steps).withColumn("delivery_id", F.monotonically_increasing_id())
+    config = EngineConfig(early_firing_seconds=1)
+    got = rows(pipeline.replay_panes(feed.repartition(3), config))
+    assert got == rows(pipeline.run_panes(spark, steps, config, files_per_trigger=1))
+    assert "LATE" in {r[4] for r in got}
+
+
+def test_stream_panes_shows_corrections(spark):
+    """A window that is corrected after its on-time pane has a late pane with more readings."""
+    panes = entry.queries()["stream_panes"](spark, "/root/testdata/sf0.001").where("NOT is_last").collect()
+    on_time = {(r.asset_id, r.stream, r.unit, r.window_s): r for r in panes if r.pane_timing == "ON_TIME"}
+    late = [r for r in panes if r.pane_timing == "LATE"]
+    assert late and all(r.readings > on_time[r.asset_id, r.stream, r.unit, r.window_s].readings for r in late)
+    final = {}
+    for r in sorted(panes, key=lambda r: r.pane_index):
+        final[r.asset_id, r.stream, r.unit, r.window_s] = r.readings
+    stats = entry.queries()["signal_stats_5m"](spark, "/root/testdata/sf0.001")
+    assert sum(final.values()) == stats.agg(F.sum("readings")).first()[0]

@@ -276,10 +276,10 @@ def stream_signal_stats(spark, sf_dir):
 
 
 def stream_panes(spark, sf_dir):
-    """Panes of every window in the order the feed arrived, by the stateful processor."""
+    """Panes of every window in the order the feed was ingested, by the stateful processor: early, on time, late and last."""
     from tidewatch.streaming import pipeline
 
-    return pipeline.run_panes(spark, f"{sf_dir}/sensor_readings.parquet").groupBy("pane_timing").agg(F.count("*").alias("panes"))
+    return pipeline.replay_panes(readings(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

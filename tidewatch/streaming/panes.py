@@ -4,14 +4,19 @@ Accumulating panes of one source (asset, stream, unit): an early pane whenever a
 window before the watermark passes its end, an on-time pane when it does (also without new data), a late
 pane per micro-batch that corrects it until the allowed lateness is over, and then the last pane once more,
 marked as last. Identifiers are kept per window, so a message counts once.
+
+:func:`replayed` gives a stored feed's panes as the stream would, one trigger per step of ingestion time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.config import EngineConfig
@@ -44,7 +49,13 @@ class PaneProcessor(StatefulProcessor):
         return pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in OUTPUT.split(",")])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
+        arrived = ((int(s), e, float(v)) for frame in rows for s, e, v in zip(frame["window_s"], frame["event_id"], frame["value"]))
+        out = self.arrive(key, arrived, timerValues.getCurrentWatermarkInMs())
+        if out:
+            yield self._frame(out)
+
+    def arrive(self, key: tuple, rows: Iterable[tuple[int, str, float]], mark: int) -> list[tuple]:
+        """Panes that a trigger's rows (window, identifier, value) give out at watermark ``mark``."""
         out: list[tuple] = []
         state = {int(k[0]): list(v) for k, v in self.windows.iterator()}
         for start, w in state.items():
@@ -54,35 +65,37 @@ class PaneProcessor(StatefulProcessor):
                 self.handle.deleteTimer((start + self.size - self.lateness) * 1000)
                 self.windows.updateValue((start,), tuple(w))
         changed: set[int] = set()
-        for frame in rows:
-            for start, event_id, value in zip(frame["window_s"], frame["event_id"], frame["value"]):
-                start, value = int(start), float(value)
-                if mark >= (start + self.size) * 1000:
-                    continue
-                w = state.get(start)
-                if w is None:
-                    w = state[start] = [0, 0.0, 0.0, float("inf"), float("-inf"), 0, False, "", []]
-                    self.handle.registerTimer((start + self.size - self.lateness) * 1000)
-                    self.handle.registerTimer((start + self.size) * 1000)
-                ids = w[8] if isinstance(w[8], list) else list(w[8])
-                if event_id in ids:
-                    w[8] = ids
-                    continue
-                ids.append(event_id)
-                w[:5] = [w[0] + 1, w[1] + value, w[2] + value * value, min(w[3], value), max(w[4], value)]
+        for start, event_id, value in rows:
+            if mark >= (start + self.size) * 1000:
+                continue
+            w = state.get(start)
+            if w is None:
+                w = state[start] = [0, 0.0, 0.0, float("inf"), float("-inf"), 0, False, "", []]
+                self.handle.registerTimer((start + self.size - self.lateness) * 1000)
+                self.handle.registerTimer((start + self.size) * 1000)
+            ids = w[8] if isinstance(w[8], list) else list(w[8])
+            if event_id in ids:
                 w[8] = ids
-                changed.add(start)
+                continue
+            ids.append(event_id)
+            w[:5] = [w[0] + 1, w[1] + value, w[2] + value * value, min(w[3], value), max(w[4], value)]
+            w[8] = ids
+            changed.add(start)
         for start in sorted(changed):
             w = state[start]
             timing = "LATE" if w[6] else "EARLY"
             out.append(self._row(key, start, w, timing, w[5]))
             w[5], w[7] = w[5] + 1, timing
             self.windows.updateValue((start,), (*w[:8], list(w[8])))
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self.expire(key, expiredTimerInfo.getExpiryTimeInMs() // 1000)
         if out:
             yield self._frame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() // 1000
+    def expire(self, key: tuple, at: int) -> list[tuple]:
+        """Panes that the timer of second ``at`` gives out."""
         out: list[tuple] = []
         for start in (at - self.size + self.lateness, at - self.size):
             if not self.windows.containsKey((start,)):
@@ -95,8 +108,7 @@ class PaneProcessor(StatefulProcessor):
             if start == at - self.size:
                 out.append(self._row(key, start, w, w[7], w[5] - 1, last=True))
                 self.windows.removeKey((start,))
-        if out:
-            yield self._frame(out)
+        return out
 
     def close(self) -> None:
         pass
@@ -108,3 +120,84 @@ def panes(readings: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
     The watermark's delay must be the allowed lateness. Needs the RocksDB state store.
     """
     return readings.groupBy("asset_id", "stream", "unit").transformWithStateInPandas(statefulProcessor=PaneProcessor(config), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
+
+
+class Kept:
+    """A processor's state and timers of one source in memory, for a replay."""
+
+    def __init__(self) -> None:
+        self.values: dict[tuple, tuple] = {}
+        self.timers: set[int] = set()
+
+    def getMapState(self, *_) -> "Kept":
+        return self
+
+    def iterator(self) -> list[tuple]:
+        return list(self.values.items())
+
+    def containsKey(self, key: tuple) -> bool:
+        return key in self.values
+
+    def getValue(self, key: tuple) -> tuple:
+        return self.values[key]
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.values[key] = value
+
+    def removeKey(self, key: tuple) -> None:
+        del self.values[key]
+
+    def registerTimer(self, at: int) -> None:
+        self.timers.add(at)
+
+    def deleteTimer(self, at: int) -> None:
+        self.timers.discard(at)
+
+
+def replayed(readings: DataFrame, config: EngineConfig = EngineConfig(), arrival: str = "delivery_id") -> DataFrame:
+    """Panes of a stored feed, as :func:`panes` gives them out with one step of ``ingestion_time`` per trigger.
+
+    ``readings`` are admitted ones: the columns of :func:`panes`, ``ingestion_time`` and ``arrival``, which orders
+    equal ingestion times. A step is the early firing interval. Each step's watermark is the maximum event time of
+    all earlier steps, of whatever source, less the allowed lateness; the last one fires what is still open. Each
+    source is replayed in order by the same processor, and only its open windows are kept.
+    """
+    key = ["asset_id", "stream", "unit"]
+    stepped = readings.withColumn("step", F.floor(F.unix_micros("ingestion_time") / F.lit(config.early_firing_seconds * 1_000_000)).cast("long"))
+    steps = stepped.groupBy("step").agg(F.max(F.unix_millis("event_time")).alias("top"))
+    lateness = config.allowed_lateness_seconds * 1000
+    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # a row per step, whatever the readings
+    marks = steps.select("step", F.greatest(F.coalesce(F.max("top").over(before) - lateness, F.lit(0)), F.lit(0)).alias("mark"), (F.max("top").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - lateness).alias("end_mark"))
+    rows = stepped.select(*key, "step", F.unix_micros("ingestion_time").alias("seen"), arrival, "window_s", "event_id", "value").join(marks, "step")
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "step", "seen", arrival).select(*key, "step", "mark", "end_mark", "window_s", "event_id", "value")
+    names = [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
+
+    def fire(processor: PaneProcessor, source: tuple, mark: int) -> list[tuple]:
+        out: list[tuple] = []
+        for at in sorted(t for t in processor.handle.timers if t <= mark):
+            processor.handle.deleteTimer(at)
+            out += processor.expire(source, at // 1000)
+        return out
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}.get(c.split(" ")[1], pa.string())) for n, c in zip(names, OUTPUT.split(", "))])
+        packed = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        source, processor, end, out = None, None, 0, []
+        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for (*own, _, mark, last), rows in groupby(each, key=lambda r: r[:6]):
+            if tuple(own) != source:
+                if processor:
+                    out += fire(processor, source, end)
+                source, processor, end = tuple(own), PaneProcessor(config), last
+                processor.init(Kept())
+            out += processor.arrive(source, (r[6:] for r in rows), mark)
+            out += fire(processor, source, mark)
+            if len(out) > 10_000:
+                yield packed(out)
+                out = []
+        if processor:
+            out += fire(processor, source, end)
+        if out:
+            yield packed(out)
+
+    return ordered.mapInArrow(replay, OUTPUT)

@@ -13,7 +13,7 @@ from tidewatch.operators import admit, aggregates, cdc, serving
 from tidewatch.operators.late import period_start
 from tidewatch.shared import scratch_path
 from tidewatch.sources import readers
-from tidewatch.streaming.panes import panes
+from tidewatch.streaming.panes import panes, replayed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -134,6 +134,12 @@ def pane_stream(main: DataFrame, config: EngineConfig = EngineConfig()) -> DataF
     return panes(named, config)
 
 
+def replay_panes(readings: DataFrame, config: EngineConfig = EngineConfig(), arrival: str = "delivery_id") -> DataFrame:
+    """Panes of a stored feed of readings in the order of ingestion, one early firing interval per trigger."""
+    main = admit.with_units(admit.admitted(admit.admit_columns(readings, config)).drop("lag_s"))
+    return replayed(main.withColumn("window_s", period_start("event_time", config.window_seconds)), config, arrival)
+
+
 def run_panes(spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), files_per_trigger: int | None = None) -> DataFrame:
     """The panes that reading a table's files to the end gives out."""
     cols = ("event_id", "asset_id", "stream", "unit", "value", "event_time", "ingestion_time")
