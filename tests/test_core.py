@@ -139,6 +139,23 @@ def test_upsert_in_any_batches_is_the_same(spark):
     assert sorted(map(tuple, stored.collect())) == once
 
 
+def test_every_change_is_judged_in_order_of_arrival(spark):
+    """Odd and even identifiers alike; a change below a higher one that came before is rejected, whatever its parity."""
+    sent = [("a", 0, 2), ("a", 2, 3), ("a", 1, 5), ("a", 1, 6), ("a", 2, 8), ("b", 3, 1), ("b", None, 4), ("b", 0, 7), (None, 1, 9)]
+    df = spark.createDataFrame(sent, "aggregate_id string, pane_index int, change_id long").repartition(3)
+    got = {r.change_id: r.applied for r in serving.applied_in_order(df, "change_id").collect()}
+    assert got == {2: True, 3: True, 5: False, 6: False, 8: True, 1: True, 4: False, 7: False, 9: False}
+
+
+def test_upsert_queries_take_the_whole_feed(spark, tmp_path):
+    from tidewatch.plans import registry
+
+    feed = [(1, "a", 2), (2, "a", 0), (3, "a", 1), (4, "a", 2), (5, "b", 0), (7, "b", 1)]
+    spark.createDataFrame([(c, a, p, "m", "insert") for c, a, p in feed], "change_id long, aggregate_id string, pane_index int, metric_type string, op string").write.parquet(f"{tmp_path}/aggregates.parquet")
+    assert {r.applied: r.changes for r in registry.upsert_applied(spark, str(tmp_path)).collect()} == {True: 4, False: 2}
+    assert sorted((r.aggregate_id, r.pane_index, r.change_id) for r in registry.upsert_twice(spark, str(tmp_path)).collect()) == [("a", 2, 4), ("b", 1, 7)]
+
+
 def test_verdict(spark):
     rows = [("a", True, 1.0, 80.0)] * 3 + [("a", False, 0.5, 60.0)] * 2 + [("b", False, 0.3, 58.0)] * 3 + [("b", True, 1.0, 75.0)] * 3 + [("z", None, None, None)]
     verdict = serving.fleet_verdict(spark.createDataFrame(rows, "asset_id string, air_leak_suspected boolean, running_ratio double, oil_temperature_mean double"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import round4
@@ -34,6 +34,17 @@ def applied(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(was, F.col("aggregate_id") == F.col("w_id"), "left").withColumn("applied", F.coalesce(F.col("pane_index") >= F.col("w_pane"), F.lit(True))).drop("w_id", "w_pane")
 
 
+def applied_in_order(records: DataFrame, arrival: str) -> DataFrame:
+    """``records`` with ``applied``: whether each is taken when they come one by one in the order of ``arrival``.
+
+    A record is taken if its pane isn't below the highest that came before it for its ``aggregate_id``; one
+    without identifier or pane is no upsert.
+    """
+    before = Window.partitionBy("aggregate_id").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.col("aggregate_id").isNotNull() & F.coalesce(F.col("pane_index") >= F.max("pane_index").over(before), F.col("pane_index").isNotNull())
+    return records.withColumn("applied", taken)
+
+
 def serving_rows(records: DataFrame) -> DataFrame:
     """Records as rows of the serving table: ``is_last`` as a number and the whole record as JSON."""
     payload = canonical_json({c: F.col(c) for c in records.columns})

@@ -160,14 +160,15 @@ def latest_pane(spark, sf_dir):
 def upsert_twice(spark, sf_dir):
     """The first half of the feed stored, then all of it upserted: as if it had come once."""
     cols = history(spark, sf_dir).select("aggregate_id", "pane_index", "change_id", "metric_type")
-    stored = serving.latest_panes(cols.where("change_id % 2 = 0"), "change_id")
-    return serving.upsert(stored, cols, "change_id")
+    half = cols.agg(F.percentile_approx("change_id", 0.5).alias("half_id"))
+    first = cols.join(F.broadcast(half), F.col("change_id") <= F.col("half_id"), "left_semi")
+    return serving.upsert(serving.latest_panes(first, "change_id"), cols, "change_id")
 
 
 def upsert_applied(spark, sf_dir):
+    """How many of all changes are taken and how many rejected, as they come one after the other."""
     cols = history(spark, sf_dir).select("aggregate_id", "pane_index", "change_id")
-    stored = serving.latest_panes(cols.where("change_id % 2 = 0"), "change_id")
-    return serving.applied(stored, cols.where("change_id % 2 = 1")).groupBy("applied").agg(F.count("*").alias("changes"))
+    return serving.applied_in_order(cols, "change_id").groupBy("applied").agg(F.count("*").alias("changes"))
 
 
 def serving_rows(spark, sf_dir):
