@@ -50,3 +50,20 @@ def test_quick_sorting_out_loses_nothing():
         text = cue(t)
         slow = sum(residue.judge(p, index) is not None for p in residue.passages(text))
         assert sum(residue.of_text(text, index).values()) == slow
+
+
+NOTICE = ("You need to have scripts turned on in your", "browser to view this page.")
+
+
+SPLIT = "You need to have scripts turned on in your\n\n3\n00:00:05,000 --> 00:00:06,000\nbrowser to view this page."
+
+
+@pytest.mark.parametrize("text", ["\n".join(NOTICE), "\n".join([TALK, *NOTICE, TALK]), cue(SPLIT), cue("404 Not Found\n" + TALK), cue(TALK + "\n[untranslated]"), cue("\n".join([TALK, *NOTICE]))])
+def test_residue_over_lines_and_cues(text):
+    assert sum(residue.of_text(text, residue.Index.build({}, 100)).values()) == 1
+
+
+def test_sentences_over_lines_are_dialogue():
+    index = residue.Index.build({}, 100)
+    for text in (cue("My feelings for you are anything but\nundefined."), cue("Just write your text here,\non the back of the ticket."), "Just write your\ntext here, on the back of the ticket, she told us and went"):
+        assert not residue.of_text(text, index)

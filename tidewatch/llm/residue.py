@@ -1,6 +1,7 @@
 """Template residue and error pages: labelled exemplars, an inverted index, TF-IDF containment.
 
-Passages are a document's cues (text outside cues: its lines) and, for unfilled places, single words.
+Passages are a document's cues (text outside cues: its lines), lines of a cue and runs of adjacent lines, over
+cues too, of at most an exemplar's length, and, for unfilled places, single words.
 An inverted index over the exemplars' words retrieves the exemplars a passage may hold; one is held if the
 passage has most of its TF-IDF weight. A passage is residue if held exemplars contain almost all of its
 weight. Inverse document frequencies are counted over all documents. Unfilled places are exemplars whose
@@ -61,8 +62,8 @@ def terms(text: str) -> list[str]:
     return fold(VALUE.sub(" zvaluez ", text)).split()
 
 
-def passages(text: str) -> Iterator[str]:
-    """The cues of a text; outside cues, its lines. Formatting is taken off, unfilled places are kept."""
+def units(text: str) -> Iterator[list[str]]:
+    """The lines of each cue of a text; outside cues, each line. Unfilled places are kept."""
     if "\r" in text:
         text = LINE_ENDS.sub("\n", text)
     text = text.lstrip("﻿")
@@ -73,16 +74,26 @@ def passages(text: str) -> Iterator[str]:
             while cue and NUMBER_LINE.match(cue[-1]):
                 cue.pop()
             if cue:
-                yield from [" ".join(cue)] if timed else cue
+                yield from [cue] if timed else ([c] for c in cue)
             cue, timed = [], True
         elif not line.strip():
             if timed and cue:
-                yield " ".join(cue)
+                yield cue
                 cue, timed = [], False
         elif line.strip() not in ("WEBVTT",):
             cue.append(line.strip())
     if cue:
-        yield from [" ".join(cue)] if timed else [c for c in cue if not NUMBER_LINE.match(c)]
+        yield from [cue] if timed else ([c] for c in cue if not NUMBER_LINE.match(c))
+
+
+def passages(text: str) -> Iterator[str]:
+    """The cues of a text; outside cues, its lines."""
+    return (" ".join(lines) for lines in units(text))
+
+
+def apart(before: str, after: str) -> bool:
+    """Whether a sentence may end between two lines of a cue."""
+    return not (after[0].islower() and (before[-1].isalnum() or before[-1] in ",;-"))
 
 
 @dataclass
@@ -95,6 +106,7 @@ class Index:
     postings: dict[str, list[int]]
     latin: frozenset
     rough: frozenset
+    longest: int
 
     @classmethod
     def build(cls, frequency: dict[str, int], documents: int, exemplars: dict[str, Sequence[str]] = EXEMPLARS, latin: str = SHAM_LATIN) -> "Index":
@@ -108,7 +120,7 @@ class Index:
             rows.append((kind, c, sum(weight[t] * n for t, n in c.items())))
             for t in c:
                 postings.setdefault(t, []).append(k)
-        return cls(weight, max(4.0, sorted(weight.values())[len(weight) // 2]) if weight else 4.0, rows, postings, bag, frozenset(w for texts in [*exemplars.values(), (latin,)] for e in texts for w in rough(e).split()))
+        return cls(weight, max(4.0, sorted(weight.values())[len(weight) // 2]) if weight else 4.0, rows, postings, bag, frozenset(w for texts in [*exemplars.values(), (latin,)] for e in texts for w in rough(e).split()), max((sum(c.values()) for _, c in counted), default=0))
 
 
 def vocabulary(exemplars: dict[str, Sequence[str]] = EXEMPLARS, latin: str = SHAM_LATIN) -> set[str]:
@@ -119,22 +131,71 @@ def of_text(text: str, index: "Index", inside: float = 0.85, held: float = 0.8)
     """Kinds of residue in a text, with the number of passages of each.
 
     A passage of which more than half the words are in no exemplar can't be contained in exemplars; only
-    the others, those with a path, host or tag, and those with an unfilled place, are judged in full.
+    the others, those with a path, host or tag, and those with an unfilled place, are judged in full. Of
+    units that aren't residue as a whole, single lines of a cue and runs of lines are judged likewise, if no
+    sentence of the cue goes on beyond them. Each line of a run must have half its words in exemplars.
     """
-    cut = list(passages(text))
-    whole = "\n".join(cut)
+    cut = list(units(text))
+    lines = [line for unit in cut for line in unit]
+    whole = "\n".join(lines)
     places = PLACES.search(whole) is not None
     got: Counter = Counter()
     known = index.rough
-    for passage, words in zip(cut, rough(whole).split("\n")):
+    counts = []
+    for words in rough(whole).split("\n"):
         ws = words.split()
-        if places or 2 * sum(w in known or "9" in w for w in ws) >= len(ws) or LINKED.search(passage):
-            kind = judge(passage, index, inside, held)
-            if kind:
-                got[kind] += 1
+        counts.append((sum(w in known or "9" in w for w in ws), len(ws)))
+    at = 0
+    #: The lines that may be part of a run, with their place in the text and in the cue.
+    run: list[tuple[int, bool, bool]] = []
+    for unit in cut:
+        n = len(unit)
+        own = counts[at : at + n]
+        passage = " ".join(unit) if n > 1 else unit[0]
+        kind = judge(passage, index, inside, held) if places or 2 * sum(k for k, _ in own) >= sum(w for _, w in own) or LINKED.search(passage) else None
+        if kind:
+            got[kind] += 1
+        for i, (k, w) in enumerate(own):
+            if not kind and w and 2 * k >= w:
+                run.append((at + i, i == 0, i == n - 1))
+            elif run:
+                got.update(of_run(run, lines, counts, index, inside, held))
+                run = []
+        at += n
+    if run:
+        got.update(of_run(run, lines, counts, index, inside, held))
     return got
 
 
+def of_run(run: list[tuple[int, bool, bool]], lines: list[str], counts: list[tuple[int, int]], index: "Index", inside: float, held: float) -> Iterator[str]:
+    """Kinds of the residue in adjacent lines none of which is in a unit of residue; each line counts once.
+
+    ``run``: a line's place, and whether it is its unit's first and last. Windows grow line by line to the
+    longest exemplar's words and what may be foreign to it; the shortest that is residue is taken.
+    """
+    if len(run) == 1 and run[0][1] and run[0][2]:
+        return
+    most = index.longest / inside
+    i = 0
+    while i < len(run):
+        at, first, _ = run[i]
+        step, n = 1, 0
+        if first or apart(lines[at - 1], lines[at]):
+            for j in range(i, len(run)):
+                end, _, last = run[j]
+                n += counts[end][1]
+                if n > most and j > i:
+                    break
+                # a whole unit was judged before
+                if (last or apart(lines[end], lines[end + 1])) and not (first and last and not any(run[x][1] for x in range(i + 1, j + 1))):
+                    kind = judge(" ".join(lines[at : end + 1]), index, inside, held)
+                    if kind:
+                        yield kind
+                        step = j - i + 1
+                        break
+        i += step
+
+
 def judge(passage: str, index: Index, inside: float = 0.85, held: float = 0.8) -> str | None:
     """The kind of residue a passage is, or None."""
     if PLACES.search(passage):
