@@ -67,3 +67,14 @@ def test_sentences_over_lines_are_dialogue():
     index = residue.Index.build({}, 100)
     for text in (cue("My feelings for you are anything but\nundefined."), cue("Just write your text here,\non the back of the ticket."), "Just write your\ntext here, on the back of the ticket, she told us and went"):
         assert not residue.of_text(text, index)
+
+
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+
+
+def test_standard_filler():
+    index = residue.Index.build({}, 100)
+    for text in (LOREM, *LOREM.split(". "), "Lorem ipsum", "sed do eiusmod tempor incididunt", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem", "Vestibulum ante ipsum primis in faucibus"):
+        assert residue.of_text(text, index)["filler"] and residue.of_text(cue(text), index)["filler"], text
+    for text in ("Do it in a minute.", "In class, in a minute?", "Et in Arcadia ego.", "Est-ce que tu es là?", "Non, per nulla.", "Do sit in.", "Error in class A."):
+        assert not residue.of_text(cue(text), index), text

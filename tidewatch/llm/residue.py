@@ -30,7 +30,7 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "cue text", "insert dialogue here", "insert text here", "insert title here", "your text here", "untranslated", "translation here", "text goes here", "title goes here", "subtitle line goes here", "undefined", "TODO: translate this line", "TODO translate", "translate this line", "subtitle goes here",
         "escribe aquí tu texto", "texto de ejemplo", "votre texte ici", "texte à traduire", "hier text einfügen", "Beispieltext",
     ),
-    "filler": ("Sample subtitle text", "Sample text", "Dummy line 7", "Dummy text", "Test cue, please ignore", "text text text text", "bla bla bla bla", "blah blah blah blah", "xxxx xxx xxxxx", "asdf asdf jkl asdf"),
+    "filler": ("lorem ipsum", "Sample subtitle text", "Sample text", "Dummy line 7", "Dummy text", "Test cue, please ignore", "text text text text", "bla bla bla bla", "blah blah blah blah", "xxxx xxx xxxxx", "asdf asdf jkl asdf"),
     "error page": (
         "404 Not Found", "The requested URL /a/1 was not found on this server.", "Page not found", "Access Denied", 'You don\'t have permission to access "/a/1" on this server.', "Reference #1a2b3c4d", "403 Forbidden", "Error 500", "Internal Server Error", "500 Internal Server Error", "Bad gateway", "502 Bad Gateway",
         "Service temporarily unavailable", "Web server is down", "Request ID: 1a2b3c4d", "Gateway timeout", "Fatal error: Uncaught exception in /srv/app/a.inc on line 7", "Oops! Something went wrong while loading this subtitle.", "Try reloading the page or go back to the homepage.", "Sorry, this file has been removed or the link has expired. (code 1a2b3c4d)",
@@ -46,6 +46,16 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
 }
 #: Words of sham Latin, which fillers draw in any order; fixed values.
 SHAM_LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit dolum volupta quisque omnut caret sil nemor ardus velor facit invidi paxil tamen morat entis sere"
+#: The words of the standard lorem ipsum, of its source (Cicero, De finibus 1.32 f.) and of its common generators; fixed values.
+LOREM = (
+    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat "
+    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum "
+    "perspiciatis unde omnis iste natus error voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis quasi architecto beatae vitae dicta explicabo nemo ipsam quia voluptas aspernatur aut odit fugit consequuntur magni dolores eos ratione sequi nesciunt neque porro quisquam dolorem adipisci numquam eius modi tempora incidunt magnam aliquam quaerat "
+    "minima nostrum exercitationem ullam corporis suscipit laboriosam aliquid commodi consequatur autem vel eum iure quam nihil molestiae illum quo at vero accusamus iusto odio dignissimos ducimus blanditiis praesentium voluptatum deleniti atque corrupti quos quas molestias excepturi occaecati cupiditate provident similique mollitia animi dolorum fuga harum quidem rerum facilis expedita distinctio nam libero tempore cum soluta nobis eligendi optio cumque impedit minus quod maxime placeat facere possimus assumenda repellendus temporibus quibusdam officiis debitis necessitatibus saepe eveniet voluptates repudiandae recusandae itaque earum hic tenetur sapiente delectus reiciendis voluptatibus maiores alias perferendis doloribus asperiores repellat "
+    "a ac accumsan aenean aliquet ante aptent arcu auctor augue bibendum blandit class condimentum congue conubia convallis cras cubilia curabitur curae cursus dapibus diam dictum dictumst dignissim dis donec dui efficitur egestas eget eleifend elementum erat eros etiam euismod facilisi facilisis fames faucibus felis fermentum feugiat finibus fringilla fusce gravida habitant habitasse hac hendrerit himenaeos iaculis imperdiet inceptos integer interdum justo lacinia lacus laoreet lectus leo ligula litora lobortis luctus maecenas malesuada massa mattis mauris maximus metus mi molestie mollis montes morbi mus nam nascetur natoque nec netus nibh nisl nullam nunc odio orci ornare parturient pellentesque penatibus per pharetra phasellus placerat platea porta porttitor posuere potenti praesent pretium primis proin pulvinar purus quisque rhoncus ridiculus risus rutrum sagittis sapien scelerisque sem semper senectus sociis sociosqu sodales sollicitudin suscipit suspendisse taciti tellus tempus tincidunt torquent tortor tristique turpis ullamcorper ultrices ultricies urna varius vehicula vel venenatis vestibulum vivamus viverra volutpat vulputate"
+)
+#: Words of LOREM that other languages have; they count towards a filler's share, but two words beside them must be there. Fixed values.
+COMMON = "a ab ac ad alias ante at aut class cum diam dis do dui ea error est et eu ex fuga hac hic id in integer leo mi minus minima modi mus nam nec nobis non per porta quam quasi qui quo quos quas rem sed sem sequi sint tempo tempora unde ut varius vel error maxime massa minim quae quia sunt esse vero nulla urna justo"
 #: Forms of unfilled places; fixed values. A brace alone around a plain word is one, formatting codes are none.
 PLACES = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|[$#]\{[^{}\n]{0,60}\}|<%[^%\n]{0,60}%>|\[\[[^\[\]\n]{0,60}\]\]|<<[^<>\n]{1,60}>>|%[A-Z][A-Z0-9_]{2,40}%|\$[A-Z][A-Z0-9_]{1,40}\$|__[A-Z][A-Z0-9_]{0,40}?__|@@[A-Z0-9_]{1,40}@@"
@@ -105,26 +115,27 @@ class Index:
     exemplars: list[tuple[str, Counter, float]]
     postings: dict[str, list[int]]
     latin: frozenset
+    common: frozenset
     rough: frozenset
     longest: int
 
     @classmethod
     def build(cls, frequency: dict[str, int], documents: int, exemplars: dict[str, Sequence[str]] = EXEMPLARS, latin: str = SHAM_LATIN) -> "Index":
         counted = [(kind, Counter(terms(e))) for kind, texts in exemplars.items() for e in texts]
-        bag = frozenset(terms(latin))
-        vocabulary = {t for _, c in counted for t in c} | bag
-        weight = {t: math.log((documents + 1) / (frequency.get(t, 0) + 1)) + 0.5 for t in vocabulary}
+        bag = frozenset(terms(latin)) | frozenset(terms(LOREM))
+        weight = {t: math.log((documents + 1) / (frequency.get(t, 0) + 1)) + 0.5 for t in {t for _, c in counted for t in c} | bag}
+        usual = sorted(weight[t] for t in {t for _, c in counted for t in c} | set(terms(latin)))
         postings: dict[str, list[int]] = {}
         rows = []
         for k, (kind, c) in enumerate(counted):
             rows.append((kind, c, sum(weight[t] * n for t, n in c.items())))
             for t in c:
                 postings.setdefault(t, []).append(k)
-        return cls(weight, max(4.0, sorted(weight.values())[len(weight) // 2]) if weight else 4.0, rows, postings, bag, frozenset(w for texts in [*exemplars.values(), (latin,)] for e in texts for w in rough(e).split()), max((sum(c.values()) for _, c in counted), default=0))
+        return cls(weight, max(4.0, usual[len(usual) // 2]) if usual else 4.0, rows, postings, bag, frozenset(terms(COMMON)) - frozenset(terms(latin)), frozenset(w for texts in [*exemplars.values(), (latin, LOREM)] for e in texts for w in rough(e).split()), max((sum(c.values()) for _, c in counted), default=0))
 
 
 def vocabulary(exemplars: dict[str, Sequence[str]] = EXEMPLARS, latin: str = SHAM_LATIN) -> set[str]:
-    return {t for texts in exemplars.values() for e in texts for t in terms(e)} | set(terms(latin))
+    return {t for texts in exemplars.values() for e in texts for t in terms(e)} | set(terms(latin)) | set(terms(LOREM))
 
 
 def of_text(text: str, index: "Index", inside: float = 0.85, held: float = 0.8) -> Counter:
@@ -213,7 +224,7 @@ def judge(passage: str, index: Index, inside: float = 0.85, held: float = 0.8) -
     known = sum(get(t, 0.0) * n for t, n in count.items())
     if known < inside * total:
         return None
-    if len(ts) >= 3 and sum(n for t, n in count.items() if t in index.latin) >= inside * len(ts):
+    if len(ts) >= 3 and sum(n for t, n in count.items() if t in index.latin) >= inside * len(ts) and sum(n for t, n in count.items() if t in index.latin and t not in index.common) >= 2:
         return "filler"
     seen: Counter = Counter()
     for t in count:
