@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from tidewatch.operators import late
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -39,6 +41,13 @@ def test_merging_is_idempotent_and_order_free(spark):
         assert read(late.read_counters(late.merge_entries(KEYS, prefix, *[parts[k] for k in order]), KEYS)) == whole
 
 
+def test_slices_that_divide_a_source_are_named_by_slice(spark):
+    """One batch whose readings of a window lie in two slices: named by batch and slice, none is lost."""
+    df = rows(spark, [(1.0, 10, 20, 1), (2.0, 20, 30, 1), (6.0, 30, 200, 1)]).withColumn("source", F.concat_ws("|", "batch_id", F.when(F.col("delivery_id") < 2, "early").otherwise("later")))
+    parts = [late.counter_entries(df.where(w), KEYS, source="source") for w in ("delivery_id < 2", "delivery_id >= 2")]
+    assert read(late.read_counters(late.merge_entries(KEYS, *parts), KEYS)) == read(late.corrected_windows(df, KEYS)) == {("a", "s", 0): (3, 0, 3.0)}
+
+
 def test_null_source_and_null_keys(spark):
     df = spark.createDataFrame([(None, "s", 1.0, at(1), at(2), None, None, "x"), (None, "s", 3.0, at(1), at(2), None, None, "x")], SCHEMA)
     assert [(r.asset_id, r.readings) for r in late.corrected_windows(df, KEYS).collect()] == [(None, 2)]

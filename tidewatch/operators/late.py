@@ -4,7 +4,9 @@ A *source* is whatever delivers records as a unit that may be sent again (here a
 it owns one counter entry: a version, which only grows with the highest sequence number the source had
 seen, and the statistics of all records of that period it had seen by then. Merging keeps, per period and
 source, the entry with the highest version; reading sums over the sources. Merging is associative,
-commutative and idempotent, so entries may be repeated, reordered or made apart for days and slices.
+commutative and idempotent, so entries may be repeated and reordered, and made apart for slices that each hold
+whole sources, or all that a source had sent so far. Slices that divide a source's records of a period (by day
+of ingestion, say) must name it differently, for instance by source and slice, as only the highest version stays.
 """
 
 from __future__ import annotations
