@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import late
@@ -53,5 +54,14 @@ def test_null_source_and_null_keys(spark):
     assert [(r.asset_id, r.readings) for r in late.corrected_windows(df, KEYS).collect()] == [(None, 2)]
 
 
+def test_values_of_any_size(spark):
+    mean = lambda *vs: late.corrected_windows(rows(spark, [(v, i, i + 1, i % 2) for i, v in enumerate(vs)]), KEYS).first().value_mean
+    assert mean(4e-7, 4e-7, 4e-7) == 4e-7
+    assert mean(1e-9, 3e-9) == 2e-9
+    assert mean(1e25, 3e25) == 2e25
+    assert mean(1e308, 1.6e308, -2.0) == pytest.approx(1e308 / 3 + 1.6e308 / 3, rel=1e-15)
+    assert mean(1.5, 2.25, 0.0000001) == pytest.approx(3.7500001 / 3, rel=1e-15)
+
+
 def test_empty(spark):
     assert late.corrected_windows(rows(spark, []), KEYS).collect() == []

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PERIOD = "window_s"
-ENTRY = ("version", "readings", "late_readings", "value_sum", "value_min", "value_max", "last_seen")
+ENTRY = ("version", "readings", "late_readings", "value_sum", "value_rest", "value_big", "value_min", "value_max", "last_seen")
+#: The unit of ``value_big``.
+BIG = float(2**64)
 
 
 def finite(col: Column | str) -> Column:
@@ -39,8 +41,9 @@ def counter_entries(records: DataFrame, keys: Sequence[str], *, event_time: str
     A record counts if its value is finite, both times are there, and ``ingestion_time - event_time`` is
     from 0 to ``lateness_seconds``, both included; others are beyond the cut-off and leave no trace. It is
     late if it came after its window's first report, ``first_report_seconds`` after the window's end. A
-    null source is one source of its own; a null sequence is lower than any. Values are summed as exact
-    decimals, so the order of arrival can't be seen in the sums. Columns other than the named ones are
+    null source is one source of its own; a null sequence is lower than any. Values below 1e20 are summed as
+    exact decimals, what lies beyond the sixth decimal (to the thirtieth) apart, so the order of arrival can't
+    be seen in the sums; larger ones are summed as doubles in units of 2**64, so sums don't overflow. Columns other than the named ones are
     ignored; an empty table gives no entries. The records must hold each message once.
     """
     lag = F.unix_micros(ingestion_time) - F.unix_micros(event_time)
@@ -48,8 +51,12 @@ def counter_entries(records: DataFrame, keys: Sequence[str], *, event_time: str
     report = (start + F.lit(window_seconds + first_report_seconds)) * F.lit(1_000_000)
     counted = records.where(finite(value) & lag.between(0, lateness_seconds * 1_000_000))
     named = counted.select(*[F.col(k) for k in keys], start.alias(PERIOD), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(sequence).cast("long"), F.lit(-(2**63))).alias("seq"), (F.unix_micros(ingestion_time) > report).cast("long").alias("late"), F.col(value).alias("v"), F.col(ingestion_time).alias("seen"))
+    number = F.col("v").cast("double")
+    small = F.abs(number) < 1e20
+    fixed = F.when(small, F.col("v").try_cast(T.DecimalType(26, 6)))
+    rest = number - fixed.cast("double")
     return named.groupBy(*keys, PERIOD, "source").agg(
-        F.max("seq").alias("version"), F.count("*").alias("readings"), F.sum("late").alias("late_readings"), F.sum(F.col("v").cast(T.DecimalType(26, 6))).alias("value_sum"), F.min("v").alias("value_min"), F.max("v").alias("value_max"), F.max("seen").alias("last_seen")
+        F.max("seq").alias("version"), F.count("*").alias("readings"), F.sum("late").alias("late_readings"), F.sum(fixed).alias("value_sum"), F.sum(F.when(rest != 0, rest.try_cast(T.DecimalType(38, 30)))).alias("value_rest"), F.sum(F.when(~small, number / BIG)).alias("value_big"), F.min("v").alias("value_min"), F.max("v").alias("value_max"), F.max("seen").alias("last_seen")
     )
 
 
@@ -66,9 +73,11 @@ def merge_entries(keys: Sequence[str], *states: DataFrame) -> DataFrame:
 
 def read_counters(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum over sources: statistics per key and period, and how many readings came as corrections."""
-    total = F.sum("value_sum").cast("double")
+    part = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    n = F.sum("readings")
+    mean = (part("value_sum") + part("value_rest")) / n + part("value_big") / n * BIG
     return entries.groupBy(*keys, PERIOD).agg(
-        F.sum("readings").alias("readings"), F.sum("late_readings").alias("corrections"), (total / F.sum("readings")).alias("value_mean"), F.min("value_min").alias("value_min"), F.max("value_max").alias("value_max"), F.max("last_seen").alias("last_seen")
+        F.sum("readings").alias("readings"), F.sum("late_readings").alias("corrections"), mean.alias("value_mean"), F.min("value_min").alias("value_min"), F.max("value_max").alias("value_max"), F.max("last_seen").alias("last_seen")
     )
 
 
