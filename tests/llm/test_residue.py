@@ -22,9 +22,11 @@ def cue(text):
 
 @pytest.fixture(scope="module")
 def found(spark):
-    texts = [*[cue(t) for t in YES], *YES, *[cue(t) for t in NO], *NO, None, "", "\n\n", "1\n2\n", TALK * 5000]
+    # filler of a generator, whose words aren't in the standard one: they join its bag
+    rest = [cue(f"{a} omnut ardus {b} caret velor.") for a, b in [("Lorem", "ipsum"), ("Ipsum", "quisque"), ("Quisque", "lorem"), ("Sit amet", "omnut")]]
+    texts = [*[cue(t) for t in YES], *YES, *[cue(t) for t in NO], *NO, None, "", "\n\n", "1\n2\n", TALK * 5000, *rest]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, kind string, passages int")
-    return {r.doc_id for r in residue.residue(df.repartition(3)).collect()}, len(texts)
+    return {r.doc_id for r in residue.residue(df.repartition(3)).collect() if r.doc_id < len(texts) - len(rest)}, len(texts) - len(rest)
 
 
 def test_positives(found):
@@ -48,7 +50,7 @@ def test_quick_sorting_out_loses_nothing():
     index = residue.Index.build({}, 100)
     for t in [*YES, *NO]:
         text = cue(t)
-        slow = sum(residue.judge(p, index) is not None for p in residue.passages(text))
+        slow = sum((residue.of_places([p], index) or residue.judge(p, index)) is not None for p in residue.passages(text))
         assert sum(residue.of_text(text, index).values()) == slow
 
 
@@ -60,7 +62,9 @@ SPLIT = "You need to have scripts turned on in your\n\n3\n00:00:05,000 --> 00:00
 
 @pytest.mark.parametrize("text", ["\n".join(NOTICE), "\n".join([TALK, *NOTICE, TALK]), cue(SPLIT), cue("404 Not Found\n" + TALK), cue(TALK + "\n[untranslated]"), cue("\n".join([TALK, *NOTICE]))])
 def test_residue_over_lines_and_cues(text):
-    assert sum(residue.of_text(text, residue.Index.build({}, 100)).values()) == 1
+    index = residue.Index.build({}, 100, {"notice": ["You need to have scripts turned on in your browser to view this page.", "untranslated", "404 Not Found"]})
+    assert sum(residue.of_text(text, index).values()) == 1
+    assert residue.of_text(text, residue.Index.build({}, 100))
 
 
 def test_sentences_over_lines_are_dialogue():
@@ -78,3 +82,26 @@ def test_standard_filler():
         assert residue.of_text(text, index)["filler"] and residue.of_text(cue(text), index)["filler"], text
     for text in ("Do it in a minute.", "In class, in a minute?", "Et in Arcadia ego.", "Est-ce que tu es là?", "Non, per nulla.", "Do sit in.", "Error in class A."):
         assert not residue.of_text(cue(text), index), text
+
+
+NAMED = ["[INSERT NAME]", "{name}", "Dear {name}, come in.", "<PLACEHOLDER>", "TBD", "Enable scripts to continue", "Error 500 12 13", "{{" + "x" * 70 + "}}", "%(count)d birds", "{% block body %}", "We're sorry but this shop doesn't work properly without JavaScript enabled.", "HTTP error 503", "Pagina niet gevonden", "Errore interno del server. Riprova più tardi.", "Vous avez dépassé la limite de téléchargements."]
+
+
+def test_forms_and_phrases_of_any_length():
+    index = residue.Index.build({}, 100)
+    assert [t for t in NAMED if not residue.of_text(cue(t), index)] == []
+    assert [t for t in ("Gone.", "Locked!", "Conflict?", "¿Todo?", "Null.", "Forbidden.", "I want you to go back later.", "{1}{72}Not now.", "{b}Not now{/b}", "<v Ann Lee>Not now.", "<I>Not now.</I>", "<font size=3>Not now.</font>") if residue.of_text(cue(t), index)] == []
+
+
+def test_exemplars_of_ones_own(spark):
+    """Phrases that no table has, held in part, damaged, and over lines."""
+    own = {"stamp": ["This parchment was left blank by the scriptorium", "{{name}}"]}
+    rows = [(1, cue("This parchment was left blank by the scriptorium")), (2, cue("This parchrnent was left b1ank\nby the scriptorium.")), (3, cue("The scriptorium left at dawn.")), (4, cue("Hello {{ name }}!")), (5, cue("Hello ${name}!")), (6, "This parchment was left blank\nby the scriptorium")]
+    got = {r.doc_id: r.kind for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), exemplars=own).collect()}
+    assert got == {1: "stamp", 2: "stamp", 4: "stamp", 6: "stamp"}
+
+
+def test_value_term_has_a_frequency(spark):
+    df = spark.createDataFrame([(cue("room 12 and 13"),), (cue("no number"),)], "text string")
+    got = {r.term: r.documents for r in residue.frequencies(df).collect()}
+    assert got[None] == 2 and residue.VALUE in residue.terms("Error 500 12") and residue.Index.build(got | {}, 2).weight[residue.VALUE] == 0.5
