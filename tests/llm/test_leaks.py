@@ -95,8 +95,29 @@ def test_short_or_reordered_echoes_are_none(spark):
     assert set(search(spark, docs, items)) == {(4, 1)}
 
 
+def test_descriptions_of_any_length_and_open_brackets():
+    from tidewatch.llm.subtitles import words
+
+    long = " ".join(["rumbling"] * 30)
+    want = words("der Mann geht heim")
+    for a, b in ("[]", "()", "**", "##", "♪♪"):
+        assert words(f"der Mann {a}{long}{b} geht heim") == want, a
+    assert words(f"der Mann\n♪ {long} ♪\ngeht heim") == words(f'der <font face="{long}">Mann</font> geht heim') == want
+    assert words("der Mann [leise\nMusik] geht heim") == want
+    assert words("der [Mann\n\n7\n00:00:01,000 --> 00:00:02,000\ngeht] heim") == want
+    assert words("[" * 50_000 + "x") == ["x"] and words("(a" * 50_000) == ["a"] * 50_000
+
+
+def test_a_changed_word_ends_a_run(spark):
+    x = [f"harbor{c}" for c in "abcdefghij"] + "in 1984 the house stood near water".split() + [f"garden{c}" for c in "abcde"]
+    changed = {"1984": "1985", "house": "horse", "water": "wafers"}
+    docs = [(i, " ".join(x[:14]) + f" {w}") for i, w in enumerate(["horses", "houze"])] + [(9, " ".join(changed.get(w, w) for w in x)), (10, " ".join(x))]
+    assert set(search(spark, docs, [(1, " ".join(x))])) == {(10, 1)}
+
+
 def test_nulls_empties_long_texts_and_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leaks, "ITEM_CHARS", 10)
+    monkeypatch.setattr(leaks, "BLOCKS_A_PASS", 2)
     x = " ".join(f"alpha{i}q" for i in range(20))
     docs = [(1, None), (2, ""), (3, "pad " * 200_000 + x), (None, x), (5, x), (5, x)]
     got = search(spark, docs, [(1, x), (2, None), (3, ""), (4, "two words"), (9, x)])

@@ -3,15 +3,18 @@
 Texts are folded into words and words into numbers; the patterns are all windows of ``window`` words of the
 items. A shift table over blocks of words says how far a position can move without missing a pattern;
 where it says nothing, the block's suffix bucket names the patterns that end so, and the words are compared
-directly. Occurrences are then extended on both sides, and a document leaks an item if a run of at least
-``least`` consecutive words of the item comes out. Every text is searched whole; long ones are cut into
+directly. Occurrences are then extended on both sides, word by word as folded (a stroke may be repeated), and
+a document leaks an item if a run of at least ``least`` consecutive words of the item comes out. Every text is searched whole; long ones are cut into
 overlapping stretches only to move many cursors side by side.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,9 @@ TABLE_BITS = 20
 STRETCH = 256
 #: Items are searched in blocks of at most so many characters: what is sent to every task is bounded.
 ITEM_CHARS = 4_000_000
+BLOCKS_A_PASS = 16
+#: Bytes of documents that are searched for one block before the next is unpacked.
+HELD_CHARS = 32 << 20
 
 
 def _block_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -100,19 +106,12 @@ class Patterns:
         return text, pattern
 
 
+REPEATED = re.compile(r"(.)\1+")
+
+
 def near(a: str, b: str) -> bool:
-    """Whether one word can stand for the other: at most one letter put in, left out or replaced, two in long words."""
-    if a == b:
-        return True
-    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    return max(len(a), len(b)) - i - j <= (1 if min(len(a), len(b)) < 8 else 2)
+    """Whether one folded word can stand for the other: they differ only in how often a stroke is repeated."""
+    return a == b or (a[:1] == b[:1] and abs(len(a) - len(b)) <= 2 and REPEATED.sub(r"\1", a) == REPEATED.sub(r"\1", b))
 
 
 def _longest(p: Patterns, item: int, doc: list[str], offset: int, seed: int) -> int:
@@ -169,32 +168,55 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", te
     descriptions; words damaged by recognition or a wrong encoding count as the words they stand for. A run
     is found if ``window`` of its words in a row are damaged in ways that folding undoes, or not at all.
     Null or empty texts leak nothing; a null id is an id like any other; repeated rows give repeated
-    results only if their ids repeat. Items are gathered on the driver in blocks of at most ``ITEM_CHARS``
-    characters, and every block is searched for in all documents. Empty tables give no rows.
+    results only if their ids repeat. Items pass the driver in blocks of about ``ITEM_CHARS`` characters;
+    the documents are read once for every ``BLOCKS_A_PASS`` blocks, which go out compressed. Empty tables
+    give no rows.
     """
     if not BLOCK <= window <= least:
         raise ValueError(f"window must be from {BLOCK} to {least}")
     out = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("run_words", T.IntegerType())])
     named = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    blocks = _blocks(items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).toLocalIterator())
+    packed = (zlib.compress(pickle.dumps(block)) for block in blocks)
     found = None
-    for block in _blocks(items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).toLocalIterator()):
-        patterns = Patterns(block, window)
-
-        def search(batches: Iterator[pa.RecordBatch], patterns: Patterns = patterns) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = []
-                ids, texts = b["doc_id"].to_pylist(), b["text"]
-                for s in range(0, b.num_rows, 1000):
-                    rows += _search(patterns, ids[s : s + 1000], texts.slice(s, 1000).to_pylist(), least)
-                if rows:
-                    d, i, n = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, b["doc_id"].type), pa.array(i), pa.array(n, pa.int32())], names=["doc_id", "item_id", "run_words"])
-
-        one = named.mapInArrow(search, out)
+    while group := list(islice(packed, BLOCKS_A_PASS)):
+        one = named.mapInArrow(_searcher(group, window, least), out)
         found = one if found is None else found.unionByName(one)
     return found if found is not None else documents.sparkSession.createDataFrame([], out)
 
 
+def _searcher(packed: list[bytes], window: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Searches documents for all blocks; of several blocks only one is unpacked at a time, for ``HELD_CHARS`` of documents."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        part, size = [], 0
+        for b in batches:
+            part.append(b)
+            size += b.nbytes
+            if len(packed) == 1 or size >= HELD_CHARS:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = None
+        for part in held(batches):
+            for block in packed:
+                if patterns is None or len(packed) > 1:
+                    patterns = Patterns(pickle.loads(zlib.decompress(block)), window)
+                for b in part:
+                    rows = []
+                    ids, texts = b["doc_id"].to_pylist(), b["text"]
+                    for s in range(0, b.num_rows, 1000):
+                        rows += _search(patterns, ids[s : s + 1000], texts.slice(s, 1000).to_pylist(), least)
+                    if rows:
+                        d, i, n = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(d, b["doc_id"].type), pa.array(i), pa.array(n, pa.int32())], names=["doc_id", "item_id", "run_words"])
+
+    return search
+
+
 def _blocks(rows: Iterator) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for r in rows:

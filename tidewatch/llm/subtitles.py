@@ -12,11 +12,12 @@ LOOKALIKE = {"e": "c", "l": "i", "1": "i", "|": "i", "0": "o", "t": "f", "h": "b
 STROKES = (("m", "rn"), ("n", "ri"), ("u", "ii"), ("d", "ci"), ("w", "vv"))
 
 LINE_ENDS = re.compile(r"\r\n?")
-TIMING = re.compile(r"(?m)(?:^[^\S\n]*\W{0,3}\d{1,7}[^\S\n]*\n)?^.*-->.*$")
-TAGS = re.compile(r"<[^<>\n]{1,80}>|\{[^{}\n]{1,60}\}")
-SOUNDS = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\*[^*\n]{1,60}\*|♪[^♪\n]{0,80}♪|#[^#\n]{1,60}#")
+TIMING = re.compile(r"(?m)(?:^[^\S\n]*\W{0,3}\d+[^\S\n]*\n)?^.*-->.*$")
+TAGS = re.compile(r"<[^<>\n]+>|\{[^{}\n]+\}")
+#: Descriptions end where they began: in their cue (before a blank line) or, between other signs, in their line.
+SOUNDS = re.compile(r"\[[^\[\]\n]*+(?:\n(?![^\S\n]*\n)[^\[\]\n]*+)*+\]|\([^()\n]*+(?:\n(?![^\S\n]*\n)[^()\n]*+)*+\)|\*[^*\n]++\*|♪[^♪\n]*+♪|#[^#\n]++#")
 #: Music between two signs, whatever an encoding has made of them, at the start of a line.
-MUSIC = re.compile(r"(?m)^(\W{0,3}?)((?=\S*[♪™ªЄ�\x80-\x9f])[^\x00-\x7f\s]{1,8}|\?)[^\S\n]+[^\n?]{1,40}?[^\S\n]+\2(?!\S)")
+MUSIC = re.compile(r"(?m)^((?:[^\S\n]|[-–—>\"'])*+)((?=[^\x00-\x7f\s]*[♪™ªЄ�\x80-\x9f])[^\x00-\x7f\s]+|\?)[^\S\n]+[^\n?]+?[^\S\n]+\2(?!\S)")
 ALONE = re.compile(r"(?<!\S)[^\x00-\x7f\s]+(?!\S)")
 LOST = re.compile(r"(?<=[A-Za-z])\?(?=[A-Za-z])")
 APOSTROPHES = b"'`"
