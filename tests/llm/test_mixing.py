@@ -50,6 +50,20 @@ def test_one_source_takes_all_and_nothing(spark):
     assert mixing.mixed(df, goals.where("false")).count() == 0
 
 
+def test_steps_without_end_are_an_error(spark):
+    df = sizes(spark, {"a": 50, "b": 50})
+    plan = mixing._plan(df, spark.createDataFrame([("a", 0.5, 4), ("b", 0.5, 1)], TARGETS), 20_000)
+    with pytest.raises(RuntimeError):
+        mixing.multipliers(df, plan, rounds=1)
+
+
+def test_few_tokens_of_many_are_still_met(spark):
+    """A target far below what there is: nearly every document's chance is small, and no threshold is out of reach."""
+    df, goals = sizes(spark, {"a": 4000}), spark.createDataFrame([("a", 1.0, 1)], TARGETS)
+    got = sum(r.copies * r.tokens for r in mixing.mixed(df, goals, total_tokens=30_000).collect())
+    assert abs(got - 30_000) < 0.05 * 30_000
+
+
 def test_same_seed_same_mix(spark):
     df, goals = sizes(spark, {"a": 300, "b": 300}), spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], TARGETS)
     one = {(r.doc_id, r.copies) for r in mixing.mixed(df, goals).collect()}

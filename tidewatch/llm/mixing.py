@@ -90,8 +90,11 @@ def _with(sizes: DataFrame, plan: dict[str, dict], field: str, values: dict[str,
     return sizes.select("doc_id", "source", "tokens").join(F.broadcast(small), F.col("source") == F.col("p_source")).drop("p_source")
 
 
-def multipliers(sizes: DataFrame, plan: dict[str, dict], *, tolerance: float = 1e-7, rounds: int = 60) -> dict[str, float]:
-    """The dual's solution: Newton steps, kept inside a bracket by bisection, for all sources at once."""
+def multipliers(sizes: DataFrame, plan: dict[str, dict], *, tolerance: float = 1e-7, rounds: int = 300) -> dict[str, float]:
+    """The dual's solution: Newton steps, kept inside a bracket by bisection, for all sources at once.
+
+    The brackets halve, so the steps end; if they haven't after ``rounds``, the call fails and says for which sources.
+    """
     lam = {s: 0.0 for s in plan}
     low, high = {s: -math.inf for s in plan}, {s: math.inf for s in plan}
     todo = {s for s, p in plan.items() if not p["full"]}
@@ -115,6 +118,8 @@ def multipliers(sizes: DataFrame, plan: dict[str, dict], *, tolerance: float = 1
             if not low[s] < step < high[s]:
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s]) and math.isfinite(high[s]) else (2 * low[s] if low[s] > 0 else low[s] + 1.0) if math.isfinite(low[s]) else (2 * high[s] if high[s] < 0 else high[s] - 1.0)
             lam[s] = step
+    if todo:
+        raise RuntimeError(f"no multiplier within {tolerance} after {rounds} rounds for {sorted(todo)[:10]}")
     return lam
 
 
@@ -136,9 +141,9 @@ def mixed(sizes: DataFrame, targets: DataFrame, *, total_tokens: int | None = No
     base = F.floor(F.col("rate")).cast("int")
     chance = F.col("rate") - base
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") / F.lit(float(1 << 53))
-    # below the threshold, 1 in expectation, a document has one copy more than its whole part
-    drawn = rated.withColumns({"base": base, "at": F.when(chance > 0, uniform / chance)})
-    bins = F.when(F.col("at") < 4.0, F.floor(F.col("at") * (BINS / 4)).cast("int"))
+    # below the threshold, a half in expectation, a document has one copy more than its whole part
+    drawn = rated.withColumns({"base": base, "at": F.when(chance > 0, uniform / (uniform + chance))})
+    bins = F.floor(F.col("at") * BINS).cast("int")
     by_bin = drawn.groupBy("source", bins.alias("bin")).agg(F.sum(F.col("base") * F.col("tokens")).alias("sure"), F.sum("tokens").alias("more"), F.max("wanted").alias("wanted"))
     thresholds = _thresholds(by_bin)
     chosen = drawn.join(F.broadcast(thresholds), F.col("source") == F.col("t_source"))
@@ -152,7 +157,7 @@ def _thresholds(by_bin: DataFrame) -> DataFrame:
     all_sure = F.sum("sure").over(w)
     upto = F.sum(F.when(F.col("bin").isNotNull(), F.col("more")).otherwise(0)).over(w.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     off = F.abs(all_sure + upto - F.col("wanted"))
-    edge = F.coalesce((F.col("bin") + 1) / F.lit(BINS / 4), F.lit(0.0))
+    edge = F.coalesce((F.col("bin") + 1) / F.lit(BINS), F.lit(0.0))
     none = F.struct(F.abs(F.col("all_sure") - F.col("wanted")).alias("off"), F.lit(0.0).alias("edge"))
     lines = by_bin.select("source", "wanted", all_sure.alias("all_sure"), F.struct(off.alias("off"), edge.alias("edge")).alias("one"))
     best = lines.groupBy("source").agg(F.min("one").alias("one"), F.min(none).alias("none"))
