@@ -4,7 +4,7 @@ The values lie in sorted runs, one per group and map task buffer, which are not
 round each run proposes the median of its values inside a target's open range, the weighted median of the
 proposals becomes the pivot, the runs count below, equal and above three ways, and the side that can't hold
 the wanted rank is discarded. A target is found when its rank falls on values equal to the pivot, or when at
-most ``finish`` candidates are left, which are then gathered and sorted. All targets of all groups run
+most ``finish`` candidates are left, which are then gathered, once for all targets of a range, and sorted. All targets of all groups run
 together; a round is one pass over the runs and one aggregation of a few numbers per run and target. When
 less than a quarter of the stored values is still a candidate, the runs are written again without the rest,
 so all passes together cost a small multiple of the first.
@@ -12,12 +12,12 @@ so all passes together cost a small multiple of the first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ from tidewatch.shared import written
 BROADCAST_TARGETS = 500_000
 RUN_VALUES = 262_144
 RUN_SALTS = 4
+#: A summary's tails are halved so often below its even points: the extremes of up to 2**40 values per point are kept.
+TAIL_HALVES = 40
 
 
 def sorted_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -153,8 +155,10 @@ def _shrunk(joined: DataFrame, k: list[str]) -> DataFrame:
     return joined.mapInArrow(cut, out)
 
 
-def _gathered(joined: DataFrame, state: DataFrame, k: list[str]) -> DataFrame:
-    """Targets with few candidates left: gather these and take the rank."""
+def _gathered(runs: DataFrame, state: DataFrame, k: list[str], targets: int) -> DataFrame:
+    """Targets with few candidates left: gather the candidates of each open range once and take the ranks."""
+    ranges = state.groupBy(*k, "low", "high").agg(F.min("t_id").alias("t_id"), F.max("pivot").alias("pivot"), F.collect_list(F.struct("t_id", "rank")).alias("asked"))
+    joined = _joined(runs, ranges, k, targets)
     fields = [joined.schema[c] for c in k]
     out = T.StructType([*fields, T.StructField("t_id", T.IntegerType()), T.StructField("few", T.ArrayType(T.DoubleType()))])
 
@@ -173,11 +177,12 @@ def _gathered(joined: DataFrame, state: DataFrame, k: list[str]) -> DataFrame:
 
     some = joined.mapInArrow(slices, out).groupBy(*k, "t_id").agg(F.array_sort(F.flatten(F.collect_list("few"))).alias("few"))
     on = [F.col(c).eqNullSafe(F.col("s_" + c)) for c in [*k, "t_id"]]
-    wanted = state.select(*[F.col(c).alias("s_" + c) for c in [*k, "t_id"]], "rank")
-    return some.join(wanted, on).select(*k, "t_id", F.element_at("few", (F.col("rank") + 1).cast("int")).alias("found"))
+    wanted = ranges.select(*[F.col(c).alias("s_" + c) for c in [*k, "t_id"]], "asked")
+    each = some.join(wanted, on).select(*k, "few", F.explode("asked").alias("a"))
+    return each.select(*k, "a.t_id", F.element_at("few", (F.col("a.rank") + 1).cast("int")).alias("found"))
 
 
-def select_ranks(runs: DataFrame, ranks: DataFrame, k: list[str], *, finish: int = 32) -> DataFrame:
+def select_ranks(runs: DataFrame, ranks: DataFrame, k: list[str], *, finish: int = 4096) -> DataFrame:
     """``ranks`` (``k``, ``t_id``, ``rank`` from 0) with ``found``, the value of that rank in its group, exactly."""
     names = [*k, "t_id"]
     on = [F.col(c).eqNullSafe(F.col("s_" + c)) for c in names]
@@ -211,43 +216,83 @@ def select_ranks(runs: DataFrame, ranks: DataFrame, k: list[str], *, finish: int
         )
     if waiting:
         small = reduce(DataFrame.unionByName, waiting)
-        done.append(written(_gathered(_joined(runs, small, k, few_in_all), small, k), "select-found"))
+        done.append(written(_gathered(runs, small, k, few_in_all), "select-found"))
     return reduce(DataFrame.unionByName, done) if done else ranks.select(*names, F.lit(None).cast("double").alias("found")).limit(0)
 
 
-def _selected(df: DataFrame, keys: Sequence[str], value: str, of: Sequence[int], per: int, finish: int) -> tuple[DataFrame, list[str]]:
+def _sized(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Written runs with their lengths ``n``, the groups' ``width``, and the key columns."""
     k = [f"k{i}" for i in range(len(keys))]
-    runs = written(sorted_runs(df, keys, value), "select-runs")
-    sizes = runs.groupBy(*k).agg(F.sum(F.size("vals")).cast("long").alias("width"))
-    each = sizes.withColumn("t_id", F.explode(F.array(*[F.lit(int(p)) for p in of])))
-    ranks = written(each.withColumn("rank", F.greatest(F.lit(0).cast("long"), F.floor((F.col("t_id").cast("long") * F.col("width") + (per - 1)) / per).cast("long") - 1)), "select-ranks")
-    found = select_ranks(runs, ranks, k, finish=finish)
-    other = found.select(*[F.col(c).alias("f_" + c) for c in [*k, "t_id"]], "found")
-    on = [F.col(c).eqNullSafe(F.col("f_" + c)) for c in [*k, "t_id"]]
-    return ranks.join(other, on).select(*k, "t_id", "width", "rank", "found"), k
+    runs = written(sorted_runs(df, keys, value).withColumn("n", F.size("vals")), "select-runs")
+    return runs, runs.groupBy(*k).agg(F.sum("n").cast("long").alias("width")), k
 
 
-def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, permille: Sequence[int] = (100, 500, 900, 990), *, finish: int = 32) -> DataFrame:
+def _small(runs: DataFrame, sizes: DataFrame, k: list[str], finish: int) -> DataFrame:
+    """Groups of at most ``finish`` values, each with all its values in order (``k``, ``width``, ``vals``)."""
+    few = sizes.where(F.col("width") <= finish).select(*[F.col(c).alias("s_" + c) for c in k], "width")
+    of = runs.where(F.col("n") <= finish).join(few, [F.col(c).eqNullSafe(F.col("s_" + c)) for c in k])
+    return of.groupBy(*k).agg(F.max("width").alias("width"), F.array_sort(F.flatten(F.collect_list("vals"))).alias("vals"))
+
+
+def _rank_of(number: str, per: int) -> Column:
+    """Rank from 1 of the quantile ``number / per`` of ``width`` values."""
+    return F.greatest(F.lit(1).cast("long"), F.floor((F.col(number).cast("long") * F.col("width") + (per - 1)) / per).cast("long"))
+
+
+def _large(runs: DataFrame, sizes: DataFrame, k: list[str], ranks: Callable[[DataFrame], DataFrame], finish: int) -> DataFrame | None:
+    """The wanted ranks (``t_id``, ``rank`` from 0) of groups of more than ``finish`` values with what was found; None where there is none."""
+    big = sizes.where(F.col("width") > finish)
+    wanted = written(ranks(big), "select-ranks")
+    if wanted.isEmpty():
+        return None
+    other = select_ranks(runs.drop("n"), wanted, k, finish=finish).select(*[F.col(c).alias("f_" + c) for c in [*k, "t_id"]], "found")
+    return wanted.join(other, [F.col(c).eqNullSafe(F.col("f_" + c)) for c in [*k, "t_id"]]).select(*k, "t_id", "width", "rank", "found")
+
+
+def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, permille: Sequence[int] = (100, 500, 900, 990), *, finish: int = 4096) -> DataFrame:
     """Exact percentiles per group: ``keys``, ``permille``, ``readings`` (values in the group), ``percentile``.
 
     The percentile p of n values is the one of rank ``ceil(p * n)`` (at least 1) in ascending order: an
     observed value, error 0. Values that are null, NaN or infinite are left out; a group without any other
     has no row; a null key is a group like any other. Ties count as often as they occur. An empty table
-    gives no rows; columns beside the named ones are ignored.
+    gives no rows; columns beside the named ones are ignored. Groups of at most ``finish`` values are
+    sorted at once, and so are the candidates of a target once at most so many are left.
     """
-    found, k = _selected(df, keys, value, permille, 1000, finish)
+    runs, sizes, k = _sized(df, keys, value)
+    of = F.array(*[F.lit(int(p)) for p in permille])
+    each = lambda groups: groups.withColumn("t_id", F.explode(of)).withColumn("rank", _rank_of("t_id", 1000) - 1)
+    found = each(_small(runs, sizes, k, finish)).select(*k, "t_id", "width", F.element_at("vals", (F.col("rank") + 1).cast("int")).alias("found"))
+    large = _large(runs, sizes, k, each, finish)
+    found = found if large is None else found.unionByName(large.drop("rank"))
     return found.select(*[F.col(c).alias(n) for c, n in zip(k, keys)], F.col("t_id").alias("permille"), F.col("width").alias("readings"), F.col("found").alias("percentile"))
 
 
-def slice_summaries(df: DataFrame, keys: Sequence[str], slice_col: str, value: str, points: int = 64, *, finish: int = 32) -> DataFrame:
-    """Mergeable summaries, one per group and slice (day, partition, ...): every (1/``points``)-quantile with its weight.
+def summary_ranks(points: int, width: Column | None = None) -> Column:
+    """The ranks a summary of ``width`` values keeps, ascending: every ``width / points``-th, and at both ends halves of that, down to the extremes."""
+    width = F.col("width") if width is None else width
+    even = F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.greatest(F.lit(1).cast("long"), F.floor((i.cast("long") * width + (points - 1)) / points).cast("long")))
+    halves = F.transform(F.sequence(F.lit(1), F.lit(TAIL_HALVES)), lambda j: F.floor(width / (F.lit(points) * F.pow(F.lit(2.0), j))).cast("long"))
+    below = F.transform(halves, lambda h: F.greatest(F.lit(1).cast("long"), h))
+    above = F.transform(halves, lambda h: width - h)
+    return F.filter(F.array_sort(F.array_distinct(F.concat(even, below, above))), lambda r: r >= 1)
+
+
+def slice_summaries(df: DataFrame, keys: Sequence[str], slice_col: str, value: str, points: int = 1024, *, finish: int = 4096) -> DataFrame:
+    """Mergeable summaries, one per group and slice (day, partition, ...): values of chosen ranks (:func:`summary_ranks`) with weights.
 
     Columns: ``keys``, ``slice_col``, ``value``, ``weight``. The weights of a slice add up to its number of
     values. Summaries made apart are put together with ``unionByName`` and read with :func:`combined`.
     """
-    found, k = _selected(df, [*keys, slice_col], value, range(1, points + 1), points, finish)
-    before = F.coalesce(F.lag("rank").over(Window.partitionBy(*k).orderBy("t_id")), F.lit(-1).cast("long"))
-    return found.select(*[F.col(c).alias(n) for c, n in zip(k, [*keys, slice_col])], F.col("found").alias("value"), (F.col("rank") - before).alias("weight")).where("weight > 0")
+    runs, sizes, k = _sized(df, [*keys, slice_col], value)
+    listed = _small(runs, sizes, k, finish).withColumn("ranks", summary_ranks(points))
+    one = lambda r, i: F.struct(F.element_at("vals", r.cast("int")).alias("found"), (r - F.when(i > 0, F.element_at("ranks", F.greatest(i, F.lit(1)))).otherwise(F.lit(0).cast("long"))).alias("weight"))
+    found = listed.select(*k, F.explode(F.transform("ranks", one)).alias("p")).select(*k, "p.found", "p.weight")
+    each = lambda groups: groups.select(*k, "width", F.posexplode(summary_ranks(points)).alias("t_id", "r")).select(*k, "t_id", "width", (F.col("r") - 1).alias("rank"))
+    large = _large(runs, sizes, k, each, finish)
+    if large is not None:
+        before = F.coalesce(F.lag("rank").over(Window.partitionBy(*k).orderBy("t_id")), F.lit(-1).cast("long"))
+        found = found.unionByName(large.select(*k, "found", (F.col("rank") - before).alias("weight")))
+    return found.select(*[F.col(c).alias(n) for c, n in zip(k, [*keys, slice_col])], F.col("found").alias("value"), "weight")
 
 
 def combined(summaries: DataFrame, keys: Sequence[str], permille: Sequence[int] = (100, 500, 900, 990)) -> DataFrame:
@@ -255,7 +300,8 @@ def combined(summaries: DataFrame, keys: Sequence[str], permille: Sequence[int]
 
     A summary point stands for the values from the last point to itself, so a slice of n values is off by
     less than ``n / points`` in rank, and the whole of N values by less than ``N / points`` plus one per
-    slice. Columns: ``keys``, ``permille``, ``readings``, ``percentile``.
+    slice; slices of at most ``points`` values are off by nothing, and with 1,024 points the error is below
+    0.1 % of the rank everywhere. Columns: ``keys``, ``permille``, ``readings``, ``percentile``.
     """
     at = summaries.groupBy(*keys, "value").agg(F.sum("weight").alias("weight"))
     w = Window.partitionBy(*keys)
@@ -263,3 +309,13 @@ def combined(summaries: DataFrame, keys: Sequence[str], permille: Sequence[int]
     each = run.withColumn("permille", F.explode(F.array(*[F.lit(int(p)) for p in permille])))
     need = F.greatest(F.lit(1).cast("long"), ((F.col("permille").cast("long") * F.col("total") + 999) / 1000).cast("long"))
     return each.where(F.col("upto") >= need).groupBy(*keys, "permille").agg(F.max("total").alias("readings"), F.min("value").alias("percentile"))
+
+
+def rank_errors(df: DataFrame, answers: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``keys``, ``permille``, ``readings``, ``off``: by how many ranks each answer of :func:`combined` misses its percentile, counted over all values."""
+    mine = answers.groupBy(*[F.col(c).alias("a_" + c) for c in keys]).agg(F.collect_list(F.struct("permille", "percentile")).alias("asked"))
+    v = F.col(value).cast("double")
+    both = df.where(finite(value)).select(*keys, v.alias("v")).join(mine, [F.col(c).eqNullSafe(F.col("a_" + c)) for c in keys]).select(*keys, "v", F.explode("asked").alias("q"))
+    counted = both.groupBy(*keys, F.col("q.permille").alias("permille")).agg(F.count("*").alias("readings"), F.count_if(F.col("v") < F.col("q.percentile")).alias("lt"), F.count_if(F.col("v") <= F.col("q.percentile")).alias("le"))
+    need = F.greatest(F.lit(1).cast("long"), ((F.col("permille").cast("long") * F.col("readings") + 999) / 1000).cast("long"))
+    return counted.select(*keys, "permille", "readings", F.greatest(F.lit(0).cast("long"), F.col("lt") + 1 - need, need - F.col("le")).alias("off"))
