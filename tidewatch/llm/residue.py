@@ -247,35 +247,52 @@ def of_text(text: str, index: Index, inside: float = 0.75) -> Counter:
     whole = "\n".join(lines)
     folded = fold(whole)
     placed = OPENS.search(whole) is not None
-    if not placed and "xxx" not in folded and index.needed.isdisjoint(folded.split()):
-        return got
     needed, known = index.needed, index.known
-    counts: list[tuple[int, int, bool]] = []
-    for line in folded.split("\n"):
-        ws = line.split() if "xxx" not in line else _words(line)
-        counts.append((sum(w in known or w.isdigit() for w in ws), len(ws), not needed.isdisjoint(ws)))
-    at = 0
-    #: The lines that may be part of a run, with their place in the text and in the cue.
-    run: list[tuple[int, bool, bool]] = []
+    if not placed and "xxx" not in folded and needed.isdisjoint(folded.split()):
+        return got
+    words = [line.split() if "xxx" not in line else _words(line) for line in folded.split("\n")]
+    hits = [i for i, ws in enumerate(words) if not needed.isdisjoint(ws)]
+    if not placed and not hits:
+        return got
+    hit = frozenset(hits)
+    share: dict[int, tuple[int, int]] = {}
+
+    def counts(i: int) -> tuple[int, int]:
+        """How many words of a line are in exemplars (numbers may be), and how many it has."""
+        if i not in share:
+            share[i] = sum([w in known or w.isdigit() for w in words[i]]), len(words[i])
+        return share[i]
+
+    unit_of: list[tuple[int, int]] = []
+    residual: set[int] = set()
     for unit in cut:
-        n = len(unit)
-        own = counts[at : at + n]
+        at, n = len(unit_of), len(unit)
+        unit_of += [(at, at + n)] * n
         kind = of_places(unit, index) if placed else None
-        if not kind and any(hit for _, _, hit in own):
+        if not kind and not hit.isdisjoint(range(at, at + n)):
+            own = [counts(i) for i in range(at, at + n)]
             passage = " ".join(unit) if n > 1 else unit[0]
-            if 2 * sum(k for k, _, _ in own) >= sum(w for _, w, _ in own) or SPECIAL.search(passage):
+            if 2 * sum(k for k, _ in own) >= sum(w for _, w in own) or SPECIAL.search(passage):
                 kind = judge(passage, index, inside)
         if kind:
             got[kind] += 1
-        for i, (k, w, _) in enumerate(own):
-            if not kind and w and 2 * k >= w:
-                run.append((at + i, i == 0, i == n - 1))
-            elif run:
-                got.update(of_run(run, lines, counts, index, inside))
-                run = []
-        at += n
-    if run:
-        got.update(of_run(run, lines, counts, index, inside))
+            residual.update(range(at, at + n))
+
+    def may(i: int) -> bool:
+        """Whether a line may be part of a run."""
+        return 0 <= i < len(lines) and i not in residual and 0 < counts(i)[1] <= 2 * counts(i)[0]
+
+    done = -1
+    for i in hits:
+        if i > done and may(i):
+            lo = hi = i
+            while lo - 1 > done and may(lo - 1):
+                lo -= 1
+            while may(hi + 1):
+                hi += 1
+            run = [(j, j == unit_of[j][0], j + 1 == unit_of[j][1]) for j in range(lo, hi + 1)]
+            got.update(of_run(run, lines, [(*counts(j), j in hit) for j in range(lo, hi + 1)], index, inside))
+            done = hi
     return got
 
 
@@ -291,7 +308,7 @@ def of_places(unit: list[str], index: Index) -> str | None:
 def of_run(run: list[tuple[int, bool, bool]], lines: list[str], counts: list[tuple[int, int, bool]], index: Index, inside: float) -> Iterator[str]:
     """Kinds of the residue in adjacent lines none of which is in a unit of residue; each line counts once.
 
-    ``run``: a line's place, and whether it is its unit's first and last. Windows grow line by line to the
+    ``run``: a line's place, and whether it is its unit's first and last; ``counts`` go with it. Windows grow line by line to the
     longest exemplar's words and what may be foreign to it; the shortest that is residue is taken.
     """
     if len(run) == 1 and run[0][1] and run[0][2]:
@@ -304,8 +321,8 @@ def of_run(run: list[tuple[int, bool, bool]], lines: list[str], counts: list[tup
         if first or apart(lines[at - 1], lines[at]):
             for j in range(i, len(run)):
                 end, _, last = run[j]
-                n += counts[end][1]
-                hit = hit or counts[end][2]
+                n += counts[j][1]
+                hit = hit or counts[j][2]
                 if n > most and j > i:
                     break
                 # a whole unit was judged before
@@ -325,13 +342,17 @@ def judge(passage: str, index: Index, inside: float = 0.75) -> str | None:
         return None
     get = index.weight.get
     count = Counter(ts)
-    total = sum(get(t, index.unknown) * n for t, n in count.items())
+    total = sum([get(t, index.unknown) * n for t, n in count.items()])
+    # no more can be covered than is in exemplars at all
+    if sum([get(t, 0.0) * n for t, n in count.items()]) < min(inside, BAG_INSIDE) * total:
+        return None
     seen: Counter = Counter()
     for t in count:
         for k in index.postings.get(t, ()):
             seen[k] += index.weight[t] * min(count[t], index.exemplars[k][1][t])
+    held = [(k, w) for k, w in seen.items() if w >= index.exemplars[k][3] * index.exemplars[k][2]]
     left, kind, covered = Counter(count), None, 0.0
-    for k, w in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
+    for k, w in sorted(held, key=lambda x: (-x[1], x[0])):
         name, words, whole, share = index.exemplars[k]
         # one word of several, or one without its number, is not held
         if sum(t in count for t in words) < min(2, len(words)):
