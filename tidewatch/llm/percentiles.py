@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.late import finite
-from tidewatch.shared import written
+from tidewatch.shared import drop_written, written
 
 #: A round's targets, 32 bytes each, are broadcast up to this many; beyond it they are joined by group with a shuffle.
 BROADCAST_TARGETS = 500_000
@@ -188,6 +188,7 @@ def select_ranks(runs: DataFrame, ranks: DataFrame, k: list[str], *, finish: int
     on = [F.col(c).eqNullSafe(F.col("s_" + c)) for c in names]
     state = written(ranks.select(*names, F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(float("-inf")).alias("pivot"), "rank", F.col("width").cast("long").alias("width"), F.lit(False).alias("hit")), "select-state")
     stored, waiting, few_in_all, done = None, [], 0, []
+    made = [state]  # read until all is found
     while True:
         wide = (F.col("width") > finish) & ~F.col("hit")
         big, left, hits, few = state.agg(F.count_if(wide), F.sum(F.when(wide, F.col("width"))), F.count_if("hit"), F.count_if(~wide & ~F.col("hit"))).first()
@@ -202,6 +203,7 @@ def select_ranks(runs: DataFrame, ranks: DataFrame, k: list[str], *, finish: int
         if stored is not None and left < stored / 4:
             still = reduce(DataFrame.unionByName, waiting, large)
             runs = written(_shrunk(_joined(runs, still, k, big + few_in_all), k), "select-runs")
+            made.append(runs)
             stored = left
         stored = stored or left
         sums = _round(_joined(runs, large, k, big), k)
@@ -214,10 +216,12 @@ def select_ranks(runs: DataFrame, ranks: DataFrame, k: list[str], *, finish: int
             ),
             "select-state",
         )
+        made.append(state)
     if waiting:
-        small = reduce(DataFrame.unionByName, waiting)
-        done.append(written(_gathered(runs, small, k, few_in_all), "select-found"))
-    return reduce(DataFrame.unionByName, done) if done else ranks.select(*names, F.lit(None).cast("double").alias("found")).limit(0)
+        done.append(_gathered(runs, reduce(DataFrame.unionByName, waiting), k, few_in_all))
+    found = written(reduce(DataFrame.unionByName, done) if done else ranks.select(*names, F.lit(None).cast("double").alias("found")).limit(0), "select-found")
+    drop_written(*made)
+    return found
 
 
 def _sized(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame, list[str]]:
