@@ -30,11 +30,15 @@ def record(spark, tmp_path):
 
 def test_from_record_to_verdict(spark, record, capsys):
     t = record
+    (t / "rows.json").write_text('{"a1": 60, "a2": 91}')
+    code, made = say(capsys, "prepare", "--csv", t / "m.csv", "--segments", t / "segments", "--out", t / "wrong", "--expect", t / "rows.json")
+    assert code == 1 and made["rows_by_asset"] == {"a1": 60, "a2": 90} and not made["ok"]
     _, made = say(capsys, "prepare", "--csv", t / "m.csv", "--segments", t / "segments", "--out", t / "data")
     assert made["rows_total"] == 60 + 90 and spark.read.text(str(t / "data/sample")).count() == 2 * 5 * 4
     _, sent = say(capsys, "replay", "--wide", t / "data/fleet", "--out", t / "steps", "--step-seconds", 1800)
     assert sent == {"duplicates": 0, "events": 600, "late": 0, "out_of_order": 0, "too_late": 0}
     say(capsys, "run", "--source", t / "steps", "--root", f"file://{t}/root", "--checkpoint", t / "cp", "--once")
+    say(capsys, "verdict", "--root", f"file://{t}/root", "--segments", t / "segments", "--only-last")
     code, verdict = say(capsys, "verdict", "--root", f"file://{t}/root", "--segments", t / "segments")
     assert code == 0 and verdict == {"ok": True, "separation_observed": True, "assets": 2, "unexpected": 0}
 

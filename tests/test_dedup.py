@@ -86,7 +86,7 @@ def test_table_grows_and_keeps_the_best():
         ids = rnd.randint(0, 3000, 4000)
         order = rnd.randint(0, 50, 4000)
         lane = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        base = len(table.hi)
+        base = table.rows
         table.insert(lane, lane, order, np.arange(base, base + 4000), pa.array(ids.astype(str)), np.ones(4000, bool))
         for k, (i, o) in enumerate(zip(ids, order)):
             seen[i] = min(seen.get(i, (99, 0)), (o, base + k))

@@ -33,6 +33,15 @@ def test_seasonal_signal_is_recovered(spark):
     assert max(abs(out[60 * k][0] - f(base + 60 * k)) for k in range(300, 420)) < 0.05
 
 
+def test_held_out_slots_are_filled_better_than_by_a_line(spark):
+    f = lambda s: 10 + 3 * math.sin(2 * math.pi * s / 86400 * 2 + 1)
+    base = int(T0.replace(hour=0).timestamp())
+    rows = [("a", "s", f(base + 60 * k), T0.replace(hour=0) + timedelta(minutes=k)) for k in range(3 * 1440)]
+    out = grid.held_out(spark.createDataFrame(rows, SCHEMA), ("asset_id", "stream"), time="at", stretch=7_200).first()
+    assert out.held_out > 100 and out.model_error < 1e-3 < out.line_error
+    assert grid.held_out(spark.createDataFrame([], SCHEMA), ("asset_id", "stream"), time="at").count() == 0
+
+
 def test_days_are_not_joined_and_null_keys(spark):
     out = series(spark, [(0, 1.0), (86_400, 2.0), (86_520, 2.0)])
     assert sorted(k for k, v in out.items() if v[1]) == [86_460]

@@ -49,6 +49,25 @@ def test_slices_that_divide_a_source_are_named_by_slice(spark):
     assert read(late.read_counters(late.merge_entries(KEYS, *parts), KEYS)) == read(late.corrected_windows(df, KEYS)) == {("a", "s", 0): (3, 0, 3.0)}
 
 
+def test_registers_merge_for_any_slices(spark):
+    """Slices that divide batches, overlap, come twice, and share messages: as if all had come at once."""
+    rnd = random.Random(7)
+    data = []
+    for d in range(500):
+        e = rnd.randrange(1500)
+        seen = None if rnd.random() < 0.05 else at(e + rnd.randrange(700))
+        data.append(("a", "s", rnd.choice([None, float("nan"), rnd.gauss(5, 1)]) if rnd.random() < 0.1 else rnd.gauss(5, 1), at(e), seen, rnd.randrange(6), d, None if rnd.random() < 0.1 else f"m{rnd.randrange(350)}"))
+    df = spark.createDataFrame(data, SCHEMA.replace("version string", "event_id string"))
+    ids = ("asset_id", "event_id")
+    whole = read(late.corrected_windows(late.registers(df, ids), KEYS))
+    parts = [late.registers(df.where(w), ids) for w in ("delivery_id < 250", "delivery_id BETWEEN 120 AND 300", "delivery_id % 2 = 0 AND delivery_id > 200", "delivery_id > 280")]
+    for order in ([0, 1, 2, 3], [3, 1, 0, 2, 1, 3, 3]):
+        assert read(late.corrected_windows(late.merge_registers(ids, *[parts[i] for i in order]), KEYS)) == whole
+    once = late.merge_registers(ids, late.merge_registers(ids, parts[0], parts[1]), late.merge_registers(ids, parts[3], parts[1]))
+    assert read(late.corrected_windows(once, KEYS)) == whole
+    assert late.registers(df.where("false"), ids).count() == 0
+
+
 def test_null_source_and_null_keys(spark):
     df = spark.createDataFrame([(None, "s", 1.0, at(1), at(2), None, None, "x"), (None, "s", 3.0, at(1), at(2), None, None, "x")], SCHEMA)
     assert [(r.asset_id, r.readings) for r in late.corrected_windows(df, KEYS).collect()] == [(None, 2)]

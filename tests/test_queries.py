@@ -1,5 +1,6 @@
 """Registered queries against their SQL in DuckDB on the smallest tables, and their contract."""
 
+import itertools
 import math
 import os
 
@@ -24,20 +25,21 @@ def duck():
     return con
 
 
-def rows(names, data):
+def rows(names, data, side):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    show = lambda v: "-" if v is None else (f"{v:.9g}" if isinstance(v, float) and not math.isnan(v) else str(v))
+    odd = itertools.count()  # NaN equals nothing
+    show = lambda v: "-" if v is None else f"nan {side} {next(odd)}" if isinstance(v, float) and math.isnan(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(r[i]) for i in order) for r in data)
 
 
 @pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
-    got = rows(df.columns, df.collect())
+    got = rows(df.columns, df.collect(), "query")
     result = duck.execute(SQL[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == sorted(df.columns)
-    assert got == rows(names, result.fetchall())
+    assert got == rows(names, result.fetchall(), "SQL")
 
 
 def test_every_sql_has_a_query():

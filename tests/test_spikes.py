@@ -61,6 +61,27 @@ def test_block_length_does_not_matter(spark):
     assert a == judged(spark, v, block_seconds=7_200) == ({77, 500, 1300, 1301}, set(range(900, 915)))
 
 
+def test_scatter_is_the_source_s_own_in_any_blocks(spark):
+    """Quiet and noisy days, hours apart: what is odd for the source doesn't depend on how it is cut."""
+    rnd = np.random.RandomState(3)
+    v = np.concatenate([5 + s * rnd.randn(2_000) for s in (0.02, 1.0, 0.02, 1.0, 0.02)]).round(4).tolist()
+    for i in (300, 4_500, 9_100):
+        v[i] = 60.0
+    v[1_000] = 5.5  # far for that hour, usual for the source
+    whole = judged(spark, v, block_seconds=10**6, sources=1)
+    assert whole[0] == {300, 4_500, 9_100}
+    for seconds in (7_200, 20_000, 86_400):
+        assert judged(spark, v, block_seconds=seconds, sources=1) == whole
+    assert judged(spark, v, block_seconds=20_000) == whole  # scatters joined by shuffle
+
+
+def test_quantile_points_stand_for_all_values():
+    x, g = np.arange(1000.0), np.repeat([0, 1, 2], [3, 64, 933])
+    at, values, weights = spikes._points(x[::-1].copy(), g[::-1].copy())
+    assert np.bincount(at, weights).tolist() == [3, 64, 933] and [(at == i).sum() for i in range(3)] == [3, 64, 64]
+    assert values[at == 2][-1] == 999.0 and spikes._points(x[:0], g[:0])[0].size == 0
+
+
 def test_unusable_values_few_readings_and_empty(spark):
     assert judged(spark, [1.0, None, float("nan"), float("inf"), 500.0]) == (set(), set())
     assert judged(spark, []) == (set(), set())

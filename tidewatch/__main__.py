@@ -33,7 +33,11 @@ def prepare_command(spark: SparkSession, a: argparse.Namespace) -> dict:
     rows = spark.read.parquet(f"{a.out}/fleet").withColumn("at", F.to_timestamp("source_event_time"))
     sample = prepare.unpivot(prepare.first_minutes(rows, a.sample_minutes).drop("at"), version=1)
     readers.write_json_lines(sample.select(admit.encode_event(sample).alias("value")), "value", f"{a.out}/sample")
-    return readers.manifest(rows, f"{a.out}/manifest.json", source=a.zip or a.csv, sha256=readers.sha256_file(a.zip or a.csv))
+    facts = {"source": a.zip or a.csv, "sha256": readers.sha256_file(a.zip or a.csv)}
+    if a.expect:
+        checked = prepare.rows_as_expected(rows, segments, json.loads(Path(a.expect).read_text())).orderBy("asset_id").collect()  # a row per asset named in the file
+        facts |= {"rows_by_asset": {r.asset_id: r.rows for r in checked}, "ok": all(r.ok for r in checked)}
+    return readers.manifest(rows, f"{a.out}/manifest.json", **facts)
 
 
 def replay_command(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -45,15 +49,17 @@ def replay_command(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def run_command(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """The streaming job over a folder of readings, or over the raw topic."""
+    """The streaming job over a folder of readings, or from the raw topic to the others."""
     config = EngineConfig.from_env()
     if a.kafka:
-        query = pipeline.start_kafka(spark, a.root, a.checkpoint, config, once=a.once)
+        queries = pipeline.start_kafka(spark, a.root, a.checkpoint, config, once=a.once)
     else:
-        query = pipeline.start(readers.parquet_stream(spark, a.source, spark.read.parquet(a.source).schema), a.root, a.checkpoint, config, once=a.once)
-    query.awaitTermination(a.seconds) if a.seconds else query.awaitTermination()
-    query.stop()
-    return {"batches": len(query.recentProgress)}
+        queries = (pipeline.start(readers.parquet_stream(spark, a.source, spark.read.parquet(a.source).schema), a.root, a.checkpoint, config, once=a.once),)
+    for query in queries:
+        query.awaitTermination(a.seconds) if a.seconds else query.awaitTermination()
+    for query in queries:
+        query.stop()
+    return {"batches": sum(len(query.recentProgress) for query in queries)}
 
 
 def materialize_command(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -106,6 +112,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--segments", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--sample-minutes", type=int, default=5)
+    p.add_argument("--expect", help="JSON file with the number of rows each asset must have")
     p = sub.add_parser("replay")
     p.add_argument("--wide", required=True)
     p.add_argument("--out", required=True)

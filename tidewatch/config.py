@@ -18,7 +18,6 @@ class EngineConfig:
     early_firing_seconds: int = 10
     stale_event_seconds: int = 86_400
     first_report_seconds: int = 60
-    parallelism: int = 2
     motor_running_threshold: float = 1.0
     running_ratio_alert: float = 0.95
     oil_temperature_alert: float = 70.0

@@ -8,8 +8,9 @@ is higher than the stored one. Deletes stay as tombstones, so a late older chang
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,41 +90,92 @@ def apply_changes(changes: DataFrame, key: str, sequence: Sequence[str], op: str
 
 def publish(state: DataFrame, root: str, name: str) -> str:
     """Write a new version of table ``name`` and switch to it at once; readers see the old or the new one whole."""
-    spark = state.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     base = f"{root.rstrip('/')}/{name}"
     state.write.parquet(f"{base}/{version}")
+    _point(state.sparkSession, base, version)
+    return f"{base}/{version}"
+
+
+def upsert_buckets(incoming: DataFrame, root: str, name: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], *, buckets: int = 64) -> None:
+    """Upsert into a published table that is kept in buckets of ``key``: only those of incoming keys are read and written.
+
+    ``merge`` gives the rows that stored and incoming ones leave. The pointer names each bucket's version and
+    switches at once; versions that neither the new pointer nor the one before it names are deleted. The
+    number of buckets is fixed by the table's first write. Without rows nothing is written, unless there is
+    no table yet.
+    """
+    spark = incoming.sparkSession
+    base = f"{root.rstrip('/')}/{name}"
+    text = _pointer(spark, base) if _exists(spark, f"{base}/_CURRENT") else None
+    now = json.loads(text) if text else {"buckets": buckets, "versions": {}, "before": []}
+    n, versions = now["buckets"], dict(now["versions"])
+    bucket = fresh("c_bucket", incoming.columns)
+    of = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    rows = incoming.persist()
+    try:
+        touched = {str(r[0]) for r in rows.select(of).distinct().collect()}  # at most a row per bucket
+        if not touched and text:
+            return
+        paths = [f"{base}/{versions[b]}/{bucket}={b}" for b in sorted(touched) if b in versions]
+        stored = spark.read.parquet(*paths) if paths else rows.limit(0)
+        version = f"v-{uuid.uuid4().hex}"
+        merge(stored, rows).withColumn(bucket, of).repartition(min(n, max(1, len(touched))), bucket).write.partitionBy(bucket).parquet(f"{base}/{version}")
+    finally:
+        rows.unpersist()
+    live = set(versions.values())
+    versions |= {b: version for b in touched}
+    kept = set(versions.values())
+    schema = merge(stored, rows).schema.jsonValue()
+    _point(spark, base, json.dumps({"buckets": n, "versions": versions, "before": sorted(live - kept), "bucket": bucket, "schema": schema}))
+    for old in now["before"]:
+        delete_path(spark, f"{base}/{old}")
+
+
+def _point(spark: SparkSession, base: str, text: str) -> None:
+    """Write the pointer of a table and put it in place by one rename."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     fs = jvm.org.apache.hadoop.fs
-    tmp, pointer = fs.Path(f"{base}/_{version}"), fs.Path(f"{base}/_CURRENT")
+    tmp, pointer = fs.Path(f"{base}/_{uuid.uuid4().hex}"), fs.Path(f"{base}/_CURRENT")
     out = tmp.getFileSystem(conf).create(tmp, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
     options[0] = fs.Options.Rename.OVERWRITE
     fs.FileContext.getFileContext(tmp.toUri(), conf).rename(tmp, pointer, options)
-    return f"{base}/{version}"
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The current version of a published table."""
+    """The current version of a published table, of one version or in buckets."""
     base = f"{root.rstrip('/')}/{name}"
-    return spark.read.parquet(f"{base}/{_pointer(spark, base)}")
+    text = _pointer(spark, base)
+    if not text.startswith("{"):
+        return spark.read.parquet(f"{base}/{text}")
+    now = json.loads(text)
+    reader = spark.read.schema(T.StructType.fromJson(now["schema"]))
+    paths = [f"{base}/{v}/{now['bucket']}={b}" for b, v in sorted(now["versions"].items())]
+    return reader.parquet(*paths) if paths else spark.createDataFrame([], T.StructType.fromJson(now["schema"]))
 
 
 def vacuum(spark: SparkSession, root: str, name: str) -> int:
-    """Delete all versions of a published table but the current one; for when no reader holds an older one."""
+    """Delete all versions of a published table that its pointer doesn't name; for when no reader holds an older one."""
     base = f"{root.rstrip('/')}/{name}"
-    current, gone = _pointer(spark, base), 0
+    text, gone = _pointer(spark, base), 0
+    current = set(json.loads(text)["versions"].values()) if text.startswith("{") else {text}
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
         leaf = status.getPath().getName()
-        if leaf.startswith("v-") and leaf != current:
+        if leaf.startswith("v-") and leaf not in current:
             delete_path(spark, status.getPath().toString())
             gone += 1
     return gone
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _pointer(spark: SparkSession, base: str) -> str:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{base}/_CURRENT")

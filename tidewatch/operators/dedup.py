@@ -56,21 +56,41 @@ def unpermute(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class QuotientTable:
-    """Open addressing over complete remainders; the best copy (least order) of an identifier holds its slot."""
+    """Open addressing over complete remainders; the best copy (least order) of an identifier holds its slot.
+
+    Remainders, order and text are kept of the rows inserted, in buffers that double; of rows that only pass
+    (copies that lost before, rows without identifier) nothing but the mark is.
+    """
 
     def __init__(self, capacity: int = 1 << 12) -> None:
         self.slots = np.full(capacity, -1, np.int64)
-        self.used = 0
-        self.hi = self.lo = np.empty(0, np.uint64)
-        self.o1 = self.o2 = np.empty(0, np.int64)
+        self.used = self.held = self.rows = 0
+        self.hi, self.lo = np.empty(capacity, np.uint64), np.empty(capacity, np.uint64)
+        self.o1, self.o2, self.row = (np.empty(capacity, np.int64) for _ in range(3))
         self.texts: list[pa.Array] = []
-        self.lost = np.empty(0, bool)
+        self.marks: list[np.ndarray] = []
+
+    @property
+    def lost(self) -> np.ndarray:
+        """Of each row inserted or passed, whether a better copy of its identifier is known."""
+        if len(self.marks) > 1:
+            self.marks = [np.concatenate(self.marks)]
+        return self.marks[0] if self.marks else np.empty(0, bool)
 
     def _same_text(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if len(self.texts) > 64:
+            self.texts = [pa.concat_arrays([c if isinstance(c, pa.Array) else c.combine_chunks() for c in self.texts])]
         texts = pa.chunked_array(self.texts)
         return np.asarray(pc.equal(texts.take(pa.array(a)), texts.take(pa.array(b))).to_numpy(), bool)
 
     def _grow(self, coming: int) -> None:
+        if self.held + coming > len(self.hi):
+            room = 2 * (self.held + coming)
+            for name in ("hi", "lo", "o1", "o2", "row"):
+                old = getattr(self, name)
+                new = np.empty(room, old.dtype)
+                new[: self.held] = old[: self.held]
+                setattr(self, name, new)
         need = 1 << max(12, int(2 * (self.used + coming)).bit_length())
         if need > len(self.slots):
             held = self.slots[self.slots >= 0]
@@ -83,16 +103,22 @@ class QuotientTable:
                 held, home = held[rest], (home[rest] + 1) & (need - 1)
 
     def insert(self, hi: np.ndarray, lo: np.ndarray, o1: np.ndarray, o2: np.ndarray, text: pa.Array, active: np.ndarray) -> None:
-        """Rows get the next numbers; ``active`` are those to insert. ``lost`` says of each row whether a better copy is known."""
-        base, n = len(self.hi), len(hi)
-        self.hi, self.lo = np.concatenate([self.hi, hi]), np.concatenate([self.lo, lo])
-        self.o1, self.o2 = np.concatenate([self.o1, o1]), np.concatenate([self.o2, o2])
-        self.lost = np.concatenate([self.lost, np.zeros(n, bool)])
-        self.texts.append(text)
-        row = np.flatnonzero(active) + base
-        self._grow(len(row))
+        """Rows get the next numbers; ``active`` are those to insert."""
+        first_row, some = self.rows, np.flatnonzero(active)
+        self.rows += len(hi)
+        lost = np.zeros(len(hi), bool)
+        self._grow(len(some))
+        base, end = self.held, self.held + len(some)
+        for mine, given in ((self.hi, hi), (self.lo, lo), (self.o1, o1), (self.o2, o2)):
+            mine[base:end] = given[some]
+        self.row[base:end] = some + first_row
+        self.texts.append(text.take(pa.array(some)) if len(some) < len(hi) else text)
+        self.held = end
+        self.marks.append(lost)
+        row = np.arange(base, end)
         mask = len(self.slots) - 1
         at = (self.lo[row] & _U(mask)).astype(np.int64)
+        beaten = []
         while len(row):
             cur = self.slots[at]
             empty = cur < 0
@@ -116,14 +142,26 @@ class QuotientTable:
                 slot, copy = slot[order], copy[order]
                 first = np.r_[True, slot[1:] != slot[:-1]]
                 self.slots[slot[first]] = copy[first]
-                self.lost[copy[~first]] = True
+                beaten.append(copy[~first])
             row, at = row[~same], (at[~same] + 1) & mask
+        if beaten:
+            self.lost[self.row[np.concatenate(beaten)]] = True
 
 
 def _lane(col: pa.Array, null: int = 0) -> np.ndarray:
+    if pa.types.is_timestamp(col.type):
+        col = pc.cast(col, pa.int64())
     return np.asarray(pc.fill_null(col, null).to_numpy(zero_copy_only=False), np.int64)
 
 
+def _texts(b: pa.RecordBatch, names: Sequence[str]) -> pa.Array:
+    """The text of each identity, from columns that are text; null where the last one is."""
+    if len(names) == 1:
+        return b[names[0]]
+    head = [x for n in names[:-1] for x in (pc.coalesce(pc.cast(pc.utf8_length(b[n]), pa.string()), pa.scalar("-")), pc.coalesce(b[n], pa.scalar("")))]
+    return pc.binary_join_element_wise(*head, b[names[-1]], ":")
+
+
 def identity_text(cols: Sequence[str]) -> Column:
     """One string per identity, different for different identities; null where the last column is null."""
     head = [F.concat(F.coalesce(F.length(F.col(c).cast("string")).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols[:-1]]
@@ -141,19 +179,24 @@ def mark_copies(df: DataFrame, id_cols: Sequence[str], order_time: str, order_id
     ``SHARD_BYTES`` of input each; ``partitions`` and ``shards_each`` set their numbers by hand.
     """
     cols = df.columns
-    text, h1, h2, o1, o2 = (fresh(x, cols, [out]) for x in ("q_text", "q_h1", "q_h2", "q_o1", "q_o2"))
+    h1, h2 = (fresh(x, cols, [out]) for x in ("q_h1", "q_h2"))
     n = partitions or partitions_for(df, SHARD_BYTES, most=20_000)
     each = shards_each or max(1, -(-input_bytes(df) // (n * SHARD_BYTES)) if not partitions else 1)
     shards = n * each
-    time = F.unix_micros(order_time) if isinstance(df.schema[order_time].dataType, T.TimestampType) else F.col(order_time).cast("long")
-    keyed = df.withColumn(text, identity_text(id_cols)).withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text), o1: time, o2: F.col(order_id).cast("long")})
+    # only what the rows don't have already is sent beside them: text of other types, times as numbers, digests
+    sent = {c: fresh(f"q_id{i}", cols, [out]) for i, c in enumerate(id_cols) if not isinstance(df.schema[c].dataType, T.StringType)}
+    names = [sent.get(c, c) for c in id_cols]
+    ranks = {c: fresh(f"q_o{i}", cols, [out]) for i, c in enumerate((order_time, order_id)) if not isinstance(df.schema[c].dataType, (T.TimestampType, T.LongType))}
+    o1, o2 = (ranks.get(c, c) for c in (order_time, order_id))
+    text = identity_text(id_cols)
+    keyed = df.withColumns({**{a: F.col(c).cast("string") for c, a in sent.items()}, **{a: F.col(c).cast("long") for c, a in ranks.items()}, h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text)})
     shard, lost = fresh("q_shard", cols, [out]), out
     mid = T.StructType([*keyed.schema.fields, T.StructField(shard, T.IntegerType()), T.StructField(lost, T.BooleanType())])
     final = T.StructType([*df.schema.fields, T.StructField(lost, T.BooleanType())])
 
     def lanes(b: pa.RecordBatch) -> tuple:
         hi, lo = _lane(b[h1]).view(np.uint64), _lane(b[h2]).view(np.uint64)
-        return *permute(hi, lo), _lane(b[o1], LAST), _lane(b[o2], LAST), b[text]
+        return *permute(hi, lo), _lane(b[o1], LAST), _lane(b[o2], LAST), _texts(b, names)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = 0
@@ -191,8 +234,8 @@ def mark_copies(df: DataFrame, id_cols: Sequence[str], order_time: str, order_id
                 held.append((b.select(cols), before))
         yield from flagged(table, held)
 
-    sent = keyed.mapInArrow(local, mid).repartitionById(n, (F.col(shard) / each).cast("int"))
-    return (sent.sortWithinPartitions(shard) if each > 1 else sent).mapInArrow(sharded, final)
+    routed = keyed.mapInArrow(local, mid).repartitionById(n, (F.col(shard) / each).cast("int"))
+    return (routed.sortWithinPartitions(shard) if each > 1 else routed).mapInArrow(sharded, final)
 
 
 def kept_once(df: DataFrame, id_cols: Sequence[str], order_time: str, order_id: str, **kw) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidewatch.functions.numeric import uniform
 from tidewatch.operators.late import finite
 
 YEAR = 31_557_600.0
@@ -72,6 +73,14 @@ def regular_series(readings: DataFrame, keys: Sequence[str], *, time: str, value
     if 86_400 % step:
         raise ValueError("step must divide a day")
     observed = slot_means(readings, keys, time=time, value=value, step=step, day="day_n", slot="slot_s")
+    filled = fill(observed, keys, step=step, season=season, harmonics=harmonics).select(*keys, "slot_s", "value", F.lit(0).cast("long").alias("readings"), F.lit(True).alias("filled"))
+    if only_filled:
+        return filled
+    return observed.select(*keys, "slot_s", "value", "readings", F.lit(False).alias("filled")).unionByName(filled)
+
+
+def fill(observed: DataFrame, keys: Sequence[str], *, step: int = 60, season: int = 86_400, harmonics: int = 2) -> DataFrame:
+    """The slots missing between the observed ones of a day: ``keys``, ``slot_s``, ``value`` by the model, ``line`` by a straight line."""
     by_day = Window.partitionBy(*keys, "day_n").orderBy("slot_s")
     with_next = observed.withColumns({"next_s": F.lead("slot_s").over(by_day), "next_value": F.lead("value").over(by_day)})
     gaps = with_next.where(F.col("next_s") - F.col("slot_s") > step)
@@ -87,7 +96,21 @@ def regular_series(readings: DataFrame, keys: Sequence[str], *, time: str, value
     ends = joined.withColumns({"r0": F.col("value") - predicted(F.col("slot_s")), "r1": F.col("next_value") - predicted(F.col("next_s"))})
     each = ends.withColumn("at", F.explode(F.sequence(F.col("slot_s") + step, F.col("next_s") - step, F.lit(step).cast("long"))))
     share = (F.col("at") - F.col("slot_s")) / (F.col("next_s") - F.col("slot_s"))
-    filled = each.select(*keys, F.col("at").alias("slot_s"), (predicted(F.col("at")) + F.col("r0") + (F.col("r1") - F.col("r0")) * share).alias("value"), F.lit(0).cast("long").alias("readings"), F.lit(True).alias("filled"))
-    if only_filled:
-        return filled
-    return observed.select(*keys, "slot_s", "value", "readings", F.lit(False).alias("filled")).unionByName(filled)
+    line = F.col("value") + (F.col("next_value") - F.col("value")) * share
+    return each.select(*keys, F.col("at").alias("slot_s"), (predicted(F.col("at")) + F.col("r0") + (F.col("r1") - F.col("r0")) * share).alias("value"), line.alias("line"))
+
+
+def held_out(readings: DataFrame, keys: Sequence[str], *, time: str, value: str = "value", step: int = 60, stretch: int = 1_800, rate: float = 0.1, seed: int = 11, **kw) -> DataFrame:
+    """How well the model fills what is known: stretches of observed slots are left out, filled and compared.
+
+    A stretch of ``stretch`` seconds is left out by a draw that depends on source and stretch only. Columns:
+    ``keys``, ``held_out`` (slots left out that lie between others of their day), ``model_error`` and
+    ``line_error`` (mean absolute errors of the model and of a straight line between a gap's ends).
+    """
+    observed = slot_means(readings, keys, time=time, value=value, step=step, day="day_n", slot="slot_s")
+    drawn = observed.withColumn("stretch", F.floor(F.col("slot_s") / stretch).cast("long"))
+    drawn = drawn.withColumn("out", uniform(seed, *keys, "stretch") < rate)
+    model = fill(drawn.where("NOT out"), keys, step=step, **kw)
+    truth = drawn.where("out").select(*[F.col(k).alias("t_" + k) for k in keys], F.col("slot_s").alias("t_slot"), F.col("value").alias("truth"))
+    met = model.join(truth, [*[F.col(k).eqNullSafe(F.col("t_" + k)) for k in keys], F.col("slot_s") == F.col("t_slot")])
+    return met.groupBy(*keys).agg(F.count("*").alias("held_out"), F.avg(F.abs(F.col("value") - F.col("truth"))).alias("model_error"), F.avg(F.abs(F.col("line") - F.col("truth"))).alias("line_error"))

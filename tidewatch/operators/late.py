@@ -1,12 +1,14 @@
-"""Late and out-of-order events: conflict-free counters per period, source and version.
-
-A *source* is whatever delivers records as a unit that may be sent again (here a batch). For each period
-it owns one counter entry: a version, which only grows with the highest sequence number the source had
-seen, and the statistics of all records of that period it had seen by then. Merging keeps, per period and
-source, the entry with the highest version; reading sums over the sources. Merging is associative,
-commutative and idempotent, so entries may be repeated and reordered, and made apart for slices that each hold
-whole sources, or all that a source had sent so far. Slices that divide a source's records of a period (by day
-of ingestion, say) must name it differently, for instance by source and slice, as only the highest version stays.
+"""Late and out-of-order events: conflict-free registers per message and counters per period, source and version.
+
+The state has two layers, both merged by maximum. A *register* is one per message: the copy that counts, which
+is the first to be ingested (the maximum under the reversed order of arrival). Registers made apart for any
+slices (days, partitions, parts of a batch, overlapping or repeated ones) merge per message, so what a slice
+holds needn't be whole. A *counter* is one per period and source, whatever delivers records as a unit that may
+be sent again (here a batch): a version, the highest sequence number the source had seen, and the statistics
+of its records of that period. Merging keeps, per period and source, the entry with the highest version;
+reading sums over the sources. Both merges are associative, commutative and idempotent, so retries and
+reordering change nothing. Counters are compact and can be kept and merged on their own where a slice holds
+whole sources, or all that a source had sent so far; slices that divide a source merge as registers.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators.dedup import kept_once
+from tidewatch.shared import fresh
+
 PERIOD = "window_s"
 ENTRY = ("version", "readings", "late_readings", "value_sum", "value_rest", "value_big", "value_min", "value_max", "last_seen")
 #: The unit of ``value_big``.
@@ -60,6 +65,26 @@ def counter_entries(records: DataFrame, keys: Sequence[str], *, event_time: str
     )
 
 
+def registers(records: DataFrame, identity: Sequence[str], *, ingestion_time: str = "ingestion_time", sequence: str = "delivery_id") -> DataFrame:
+    """One register per message of ``records``: the row with the earliest ``ingestion_time`` (null last), then the lowest ``sequence``.
+
+    ``identity`` names the columns that identify a message together; where the last is null, a row is a
+    message of its own, told from others by its ``sequence``, so that a slice that comes twice counts once.
+    The columns are those of ``records``. No rows, no registers.
+    """
+    return merge_registers(identity, records, ingestion_time=ingestion_time, sequence=sequence)
+
+
+def merge_registers(identity: Sequence[str], *states: DataFrame, ingestion_time: str = "ingestion_time", sequence: str = "delivery_id") -> DataFrame:
+    """The registers of several states or slices together, whatever they share."""
+    every = reduce(DataFrame.unionByName, states)
+    cols = every.columns
+    own = fresh("m_own", cols)
+    last = F.col(identity[-1]).cast("string")
+    named = every.withColumn(own, F.coalesce(F.concat(F.lit("m"), last), F.concat(F.lit("d"), F.col(sequence).cast("string"))))
+    return kept_once(named, [*identity[:-1], own], ingestion_time, sequence).select(*cols)
+
+
 def merge_entries(keys: Sequence[str], *states: DataFrame) -> DataFrame:
     """Of several sets of entries, per key, period and source the entry with the highest version.
 
@@ -82,5 +107,8 @@ def read_counters(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def corrected_windows(records: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
-    """Statistics by event time with the corrections that came up to the cut-off, from records that hold each message once."""
-    return read_counters(merge_entries(keys, counter_entries(records, keys, **kw)), keys)
+    """Statistics by event time with the corrections that came up to the cut-off, from merged registers (each message once).
+
+    These registers' counters are one state, so there is no other to merge them with.
+    """
+    return read_counters(counter_entries(records, keys, **kw), keys)

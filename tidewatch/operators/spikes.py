@@ -1,7 +1,8 @@
 """Implausible measurements per source: spikes, stuck values, physically impossible readings.
 
 Spikes: a Hampel filter. A reading is a candidate if it is far from the rolling median just before it and
-from the one just after it, measured in median absolute deviations and in the source's typical scatter.
+from the one just after it, measured in median absolute deviations and in the source's usual scatter, which
+a first pass over all its readings finds: quantiles of each block's deviations, put together per source.
 A candidate whose level the source also reports elsewhere nearby is a normal operating state, no spike.
 Stuck: runs of equal values, found by run-length detection. Impossible: outside the stream's bounds.
 
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.late import finite
-from tidewatch.shared import partitions_for
+from tidewatch.shared import partitions_for, written
 
 SPIKE, STUCK, EDGE = 1, 2, 4
 MAD = 1.4826
 CHUNK = 150_000
+#: Scatters of at most so many sources are broadcast.
+MOST_SOURCES = 500_000
 
 
 def _row_median(m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -59,16 +62,25 @@ def _by_group(x: np.ndarray, group: np.ndarray, groups: int, share: float = 0.0,
     return np.where(ok, x[order][np.clip(at, 0, max(len(x) - 1, 0))] if len(x) else -np.inf, -np.inf)
 
 
-def spikes(v: np.ndarray, group: np.ndarray, t: np.ndarray, *, side: int = 7, factor: float = 4.0, reach: int = 1_800_000_000, around: int = 150, own: int = 4, usual: int = 4, alike: float = 0.1, switches: int = 4) -> np.ndarray:
-    """Which readings are spikes; ``group`` numbers sources from 0 in order, each sorted by ``t`` (microseconds).
+def deviations(v: np.ndarray, group: np.ndarray, t: np.ndarray, *, side: int = 7, reach: int = 1_800_000_000) -> np.ndarray:
+    """The MAD of the ``side`` readings before each one, as :func:`spikes` has it; NaN where fewer than three are within ``reach``."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        _, db, nb = _side(v, group, t, side, -1, reach)
+    return np.where(nb >= 3, db, np.nan)
+
+
+def spikes(v: np.ndarray, group: np.ndarray, t: np.ndarray, scatter: np.ndarray, *, side: int = 7, factor: float = 4.0, reach: int = 1_800_000_000, around: int = 150, own: int = 4, usual: int = 4, alike: float = 0.1, switches: int = 4) -> np.ndarray:
+    """Which readings are spikes; ``group`` numbers blocks of sources from 0 in order, each sorted by ``t`` (microseconds).
 
     ``side`` readings before and after, no farther than ``reach``, make the two rolling windows. A candidate
     lies more than ``factor`` scatters from both medians; the scatter is the larger of the window's MAD and
-    the source's usual one, the 9th decile of its windows' MADs, as an operating state can be noisier than
-    another. Where the source switches states, having made two or more lasting moves at least half as far
-    within this block, a candidate is a normal state if at least ``usual`` readings among the ``around`` on
-    either side, the ``own`` next ones left out, lie within ``alike`` of its distance from the medians;
-    after ``switches`` such moves, if that many of all its readings do.
+    the source's usual one, ``scatter`` (per reading, as a MAD), which :func:`suspicious` takes from the 9th
+    decile of all its windows' MADs, as an operating state can be noisier than another. Where the source
+    switches states, having made two or more lasting moves at least half as far within this block, a
+    candidate is a normal state if at least ``usual`` readings among the ``around`` on either side, the
+    ``own`` next ones left out, lie within ``alike`` of its distance from the medians; after ``switches``
+    such moves, if that many of the block's readings do. Moves and levels are a block's, a day's by
+    default: what a source did weeks ago says little about whether it switches now.
     """
     n = len(v)
     if not n:
@@ -77,7 +89,7 @@ def spikes(v: np.ndarray, group: np.ndarray, t: np.ndarray, *, side: int = 7, fa
         mb, db, nb = _side(v, group, t, side, -1, reach)
         ma, da, na = _side(v, group, t, side, 1, reach)
         groups = int(group[-1]) + 1
-        typical = _by_group(np.where(nb >= 3, db, np.where(na >= 3, da, 0.0)), group, groups, share=0.9)[group] * MAD
+        typical = scatter * MAD
         tiny = 1e-9 * np.abs(v) + 1e-12
         before, after = np.abs(v - mb), np.abs(v - ma)
         far_b = before > np.maximum(np.maximum(factor * MAD * db, factor * typical), tiny)
@@ -121,13 +133,14 @@ def run_lengths(v: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return run, np.bincount(run, minlength=1)[run] if len(v) else run
 
 
-def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, ident: str, *, carry: Sequence[str] = (), run: int = 10, block_seconds: int = 86_400, halo_seconds: int = 3_600, partitions: int | None = None) -> DataFrame:
+def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, ident: str, *, carry: Sequence[str] = (), run: int = 10, block_seconds: int = 86_400, halo_seconds: int = 3_600, partitions: int | None = None, sources: int | None = None) -> DataFrame:
     """The spikes and stuck readings of ``kept``: ``keys``, ``carry``, ``value``, ``ident`` and ``spike``, ``stuck``.
 
     Readings are ordered by ``time``, ties by ``ident``. Values that aren't finite are no readings, and so
     are rows without a time; null keys are a source of their own; a source with fewer than three readings
     nearby has no spikes. Every reading comes out at most once. ``halo_seconds`` must be at least twice
-    the reach of the windows, which is 1,800 seconds.
+    the reach of the windows, which is 1,800 seconds. ``sources`` is a bound on the number of sources, if one
+    is known: up to ``MOST_SOURCES`` their scatters, a number each, are broadcast, else joined by shuffle.
     """
     k, cs = [f"k{i}" for i in range(len(keys))], [f"c{i}" for i in range(len(carry))]
     us = F.unix_micros(time)
@@ -137,7 +150,8 @@ def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, iden
     named = kept.where(finite(value) & F.col(time).isNotNull()).select(*[F.col(c).alias(a) for c, a in zip([*keys, *carry], [*k, *cs])], F.col(ident).cast("long").alias("id"), F.col(value).cast("double").alias("v"), us.alias("t"), own.alias("own"), F.when(inside <= halo, own - 1).alias("prev"), F.when(block - inside <= halo, own + 1).alias("next"))
     each = named.withColumn("block", F.explode(F.array_compact(F.array("own", "prev", "next")))).select(*k, *cs, "id", "v", "t", "block", (F.col("block") == F.col("own")).alias("core"))
     n = partitions or partitions_for(kept)
-    ordered = each.repartition(n, *k, "block").sortWithinPartitions(*k, "block", "t", "id")
+    parted = each.repartition(n, *k, "block")
+    ordered = lambda df: df.sortWithinPartitions(*k, "block", "t", "id")
     flag, edge, length = T.StructField("flag", T.IntegerType()), T.StructField("edge", T.IntegerType()), T.StructField("length", T.IntegerType())
     out = T.StructType([*[each.schema[c] for c in [*k, *cs, "id", "v", "block"]], flag, edge, length])
 
@@ -155,7 +169,7 @@ def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, iden
         group = np.cumsum(new) - 1
         v, t = b["v"].to_numpy(), b["t"].to_numpy()
         core = np.asarray(b["core"].to_numpy(), bool)
-        flags = np.where(spikes(v, group, t) & core, SPIKE, 0)
+        flags = np.where(spikes(v, group, t, b["scatter"].to_numpy()) & core, SPIKE, 0)
         at = np.flatnonzero(core)
         r, size = run_lengths(v[at], group[at])
         flags[at[size >= run]] |= STUCK
@@ -175,7 +189,8 @@ def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, iden
         rows = b.select([*k, *cs, "id", "v", "block"]).take(pa.array(keep))
         return rows.append_column("flag", pa.array(flags[keep], pa.int32())).append_column("edge", pa.array(edges[keep], pa.int32())).append_column("length", pa.array(lengths[keep], pa.int32()))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Whole blocks, many at a time, with where each starts."""
         held, size = [], 0
         for b in batches:
             held.append(b)
@@ -186,16 +201,54 @@ def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, iden
             new = starts(t)
             cut = int(np.flatnonzero(new)[-1])  # the last block may go on in the next batch
             if cut:
-                yield from judge(t.slice(0, cut), new[:cut]).to_batches()
+                yield t.slice(0, cut), new[:cut]
             held, size = t.slice(cut).to_batches(), t.num_rows - cut
         if size:
             t = pa.Table.from_batches(held)
-            yield from judge(t, starts(t)).to_batches()
+            yield t, starts(t)
+
+    def scatters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, new in blocks(batches):
+            group = np.cumsum(new) - 1
+            d = deviations(b["v"].to_numpy(), group, b["t"].to_numpy())
+            use = np.asarray(b["core"].to_numpy(), bool) & ~np.isnan(d)
+            at, mads, weights = _points(d[use], group[use])
+            first = b.select(k).take(pa.array(np.flatnonzero(new)[at]))
+            yield from first.append_column("mad", pa.array(mads)).append_column("weight", pa.array(weights)).to_batches()
 
-    seen = ordered.mapInArrow(blocks, out)
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, new in blocks(batches):
+            yield from judge(b, new).to_batches()
+
+    points = T.StructType([*[each.schema[c] for c in k], T.StructField("mad", T.DoubleType()), T.StructField("weight", T.LongType())])
+    usual = ordered(parted).mapInArrow(scatters, points).groupBy(*k).agg(F.expr("percentile(mad, 0.9, weight)").alias("scatter")).select(*[F.col(c).alias("u_" + c) for c in k], "scatter")
+    same = [F.col(c).eqNullSafe(F.col("u_" + c)) for c in k]
+    known = lambda df: df.withColumn("scatter", F.coalesce("scatter", F.lit(0.0))).drop(*["u_" + c for c in k])
+    if sources is not None and sources <= MOST_SOURCES:
+        told = known(parted.join(F.broadcast(usual), same, "left"))  # sorted after it: Catalyst drops a sort below a join
+    else:
+        told = known(each.join(usual, same, "left")).repartition(n, *k, "block")
+    # read twice, for the runs at the blocks' edges: written, so that it isn't made twice
+    seen = written(ordered(told).mapInArrow(judged, out), "seen-readings")
     return _stitched(seen, k, cs, run).select(*[F.col(a).alias(c) for c, a in zip([*keys, *carry], [*k, *cs])], F.col("v").alias(value), F.col("id").alias(ident), "spike", "stuck")
 
 
+def _points(x: np.ndarray, group: np.ndarray, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to ``most`` even quantiles of each group's values: group, value, and how many values each stands for."""
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+    order = np.lexsort((x, group))
+    x, group = x[order], group[order]
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[begin, len(x)])
+    points = np.minimum(size, most)
+    at = np.repeat(np.arange(len(begin)), points)
+    i = np.arange(len(at)) - np.repeat(np.cumsum(points) - points, points)
+    rank = -(-(i + 1) * size[at] // points[at])
+    before = -(-i * size[at] // points[at])
+    return group[begin][at], x[begin[at] + rank - 1], rank - before
+
+
 def _stitched(seen: DataFrame, k: list[str], cs: list[str], run: int) -> DataFrame:
     """Judge the runs at the blocks' edges; one row per reading that is a spike or stuck."""
     by_source = Window.partitionBy(*k).orderBy("block", "edge")

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timestamps import parse_iso
 from tidewatch.operators import cdc, grid, late, spikes
-from tidewatch.operators.dedup import extra_copies, kept_once, mark_copies
-from tidewatch.shared import shared_dir
+from tidewatch.operators.dedup import extra_copies, kept_once
+from tidewatch.shared import scratch_path, written, written_bytes
 
 MESSAGE = ("asset_id", "event_id")
 
@@ -30,9 +28,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCE = ("asset_id", "stream")
 
 
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "sensor_readings").select(*MESSAGE, "ingestion_time", "delivery_id", "stream", "value", "event_time", "batch_id")
+
+
 def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = table(spark, sf_dir, "sensor_readings").select(*MESSAGE, "ingestion_time", "delivery_id", "stream", "value", "event_time", "batch_id")
-    return late.corrected_windows(kept_once(sent, MESSAGE, "ingestion_time", "delivery_id"), SOURCE)
+    return late.corrected_windows(late.registers(_sent(spark, sf_dir), MESSAGE), SOURCE)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +46,22 @@ def p1_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corrected(spark, sf_dir).drop("last_seen")
 
 
+def p1_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from states made apart: an earlier and a later part of the feed that overlap and divide batches, one of them sent twice."""
+    sent = _sent(spark, sf_dir)
+    top = F.col("top")
+    cut = sent.join(F.broadcast(sent.agg(F.max("delivery_id").alias("top"))))  # one row
+    earlier, later = (written(late.registers(cut.where(w).drop("top"), MESSAGE), "late-slice") for w in (F.col("delivery_id") <= top * 0.6, F.col("delivery_id") > top * 0.4))
+    return late.corrected_windows(late.merge_registers(MESSAGE, later, earlier, later), SOURCE).drop("last_seen")
+
+
 CHANGE = ("pane_index", "change_id")
 
 
 def _serving(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Apply the feed, publish the state, and read what is published."""
     feed = table(spark, sf_dir, "aggregates").select("aggregate_id", *CHANGE, "op", *more)
-    root = f"{shared_dir(spark)}/tidewatch/serving-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "serving")
     cdc.publish(cdc.apply_changes(feed, "aggregate_id", CHANGE, "op"), root, "aggregates")
     return cdc.read_published(spark, root, "aggregates").where(~F.col("deleted"))
 
@@ -85,23 +95,38 @@ def p4_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _series(spark, sf_dir)
 
 
+def p4_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: observed slots left out and filled again, and the errors of the model and of a straight line."""
+    sent = table(spark, sf_dir, "sensor_readings").select(*SOURCE, "value", parse_iso("source_event_time").alias("at"))
+    return grid.held_out(sent, SOURCE, time="at")
+
+
 COPY_SALTS = 8
+#: A written table of at most so many bytes is broadcast.
+SMALL_BYTES = 4 << 20
 
 
 def p5_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Implausible deliveries with the reasons."""
     everything = table(spark, sf_dir, "sensor_readings")
     sent = everything.select(*MESSAGE, "ingestion_time", "delivery_id", "stream", "value", "event_time")
-    marked = mark_copies(sent, MESSAGE, "ingestion_time", "delivery_id")
-    odd = spikes.suspicious(marked.where("NOT is_copy"), SOURCE, "event_time", "value", "delivery_id", carry=("event_id",))
-    # the few odd readings meet the copies once per salt, so that a message with very many copies is split
-    salted = odd.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
-    named = [F.col(c).alias("c_" + c) for c in (*MESSAGE, "value")]
-    copies = marked.where("is_copy").select(*named, F.pmod("delivery_id", F.lit(COPY_SALTS)).cast("int").alias("c_salt"), F.col("delivery_id").alias("copy_id"))
-    met = salted.join(copies, [F.col(c).eqNullSafe(F.col("c_" + c)) for c in (*MESSAGE, "value", "salt")], "left")
-    each = met.withColumn("delivery_id", F.explode(F.array_compact(F.array(F.when(F.col("salt") == 0, F.col("delivery_id")), F.col("copy_id")))))
+    kept = kept_once(sent, MESSAGE, "ingestion_time", "delivery_id").drop("ingestion_time")
+    sources = everything.select(*SOURCE).distinct().count()
+    odd = written(spikes.suspicious(kept, SOURCE, "event_time", "value", "delivery_id", carry=("event_id",), sources=sources), "odd-readings")
+    rows = odd.select("delivery_id", "spike", "stuck", F.lit(False).alias("impossible"))
+    # the other deliveries of an odd message with its value are its copies
+    others = everything.where(F.col("event_id").isNotNull()).select(*MESSAGE, "value", "delivery_id")
+    named = odd.where(F.col("event_id").isNotNull()).select(*[F.col(c).alias("o_" + c) for c in (*MESSAGE, "value", "delivery_id")], "spike", "stuck")
+    same = [*MESSAGE, "value"]
+    if written_bytes(odd) <= SMALL_BYTES:
+        named = F.broadcast(named)
+    else:  # odd messages meet their copies once per salt, so that a message with very many is split
+        named = named.withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
+        others = others.withColumn("salt", F.pmod("delivery_id", F.lit(COPY_SALTS)).cast("int"))
+        same.append("salt")
+    met = others.join(named, [F.col(c).eqNullSafe(F.col("o_" + c)) for c in same])
+    rows = rows.unionByName(met.select("delivery_id", "spike", "stuck", F.lit(False).alias("impossible")))
     impossible = spikes.out_of_bounds(everything.select("delivery_id", "stream", "value"), table(spark, sf_dir, "stream_registry"), "stream", "value")
-    rows = each.select("delivery_id", "spike", "stuck", F.lit(False).alias("impossible"))
     rows = rows.unionByName(impossible.select("delivery_id", F.lit(False).alias("spike"), F.lit(False).alias("stuck"), F.lit(True).alias("impossible")))
     return rows.groupBy("delivery_id").agg(*[F.bool_or(c).alias(c) for c in ("spike", "stuck", "impossible")])
 
@@ -175,8 +200,8 @@ SELECT asset_id, stream, unnest(range(slot_s + 60, next_s, 60)) AS slot_s FROM s
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_windows": p1_windows, "p2_found": p2_found, "p2_serving": p2_serving, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found, "p5_readings": p5_readings, "p5_stuck": p5_stuck, "p5_impossible": p5_impossible, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_windows": p1_windows, "p1_slices": p1_slices, "p2_found": p2_found, "p2_serving": p2_serving, "p4_found": p4_found, "p4_series": p4_series, "p4_holdout": p4_holdout, "p5_found": p5_found, "p5_readings": p5_readings, "p5_stuck": p5_stuck, "p5_impossible": p5_impossible, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_windows": P1_WINDOWS, "p2_found": P2_FOUND, "p2_serving": P2_SERVING, "p4_found": P4_FOUND, "p5_stuck": P5_STUCK, "p5_impossible": P5_IMPOSSIBLE, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_windows": P1_WINDOWS, "p1_slices": P1_WINDOWS, "p2_found": P2_FOUND, "p2_serving": P2_SERVING, "p4_found": P4_FOUND, "p5_stuck": P5_STUCK, "p5_impossible": P5_IMPOSSIBLE, "p6_found": P6_FOUND}

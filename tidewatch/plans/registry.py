@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import round4
 from tidewatch.functions.timestamps import format_iso, parse_iso
-from tidewatch.operators import admit, aggregates, prepare, serving
+from tidewatch.operators import admit, aggregates, cdc, prepare, serving
 from tidewatch.sources import replay as replays
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,13 +38,22 @@ def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All panes that were sent, deletes left out."""
-    feed = table(spark, sf_dir, "aggregates")
-    return feed.where(F.lower(F.trim("op")).isin("insert", "update", "i", "u"))
+    return table(spark, sf_dir, "aggregates").where(~cdc.is_delete("op"))
+
+
+def feed(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """All changes in columns ``cols``, with ``deleted`` true for deletes."""
+    return table(spark, sf_dir, "aggregates").select("aggregate_id", "pane_index", "change_id", *cols, cdc.is_delete("op").alias("deleted"))
+
+
+def served(state: DataFrame) -> DataFrame:
+    """What a reader of the serving table sees: no tombstones."""
+    return state.where("NOT deleted").drop("deleted")
 
 
 def serving_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ("change_id", "aggregate_id", "metric_type", "asset_id", "stream", "window_start", "window_end", "pane_index", "pane_timing", "is_last", "value_mean", "value_min", "value_max", "running_ratio", "oil_temperature_mean", "air_leak_suspected")
-    return serving.latest_panes(history(spark, sf_dir).select(*cols), "change_id")
+    cols = ("metric_type", "asset_id", "stream", "window_start", "window_end", "pane_timing", "is_last", "value_mean", "value_min", "value_max", "running_ratio", "oil_temperature_mean", "air_leak_suspected")
+    return served(serving.latest_panes(feed(spark, sf_dir, *cols), "change_id"))
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +94,10 @@ def flatten_wire(spark, sf_dir):
 
 
 def encode_readings(spark, sf_dir):
+    """The wire form of every delivery, as the text of its key and value."""
     rows = table(spark, sf_dir, "sensor_readings").withColumns({"event_time": format_iso("event_time"), "ingestion_time": format_iso("ingestion_time")})
-    return admit.kafka_record(rows.select("delivery_id", "asset_id", admit.encode_event(rows).alias("event")), F.coalesce("asset_id", F.lit("")))
+    sent = admit.kafka_record(rows.select("delivery_id", "asset_id", admit.encode_event(rows).alias("event")), F.coalesce("asset_id", F.lit("")))
+    return sent.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
 def dedup_counts(spark, sf_dir):
@@ -130,7 +141,8 @@ def registry_join(spark, sf_dir):
 
 def segment_range_join(spark, sf_dir):
     rows = prepare.in_segments(table(spark, sf_dir, "wide_readings"), table(spark, sf_dir, "fleet_segments"))
-    return rows.select("asset_id", "source_event_time", "condition_label", "failure_ref", "motor_current", "oil_temperature")
+    known = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
+    return rows.select("asset_id", "source_event_time", "condition_label", "failure_ref", known("motor_current"), known("oil_temperature"))
 
 
 def segment_row_counts(spark, sf_dir):
@@ -159,10 +171,10 @@ def latest_pane(spark, sf_dir):
 
 def upsert_twice(spark, sf_dir):
     """The first half of the feed stored, then all of it upserted: as if it had come once."""
-    cols = history(spark, sf_dir).select("aggregate_id", "pane_index", "change_id", "metric_type")
+    cols = feed(spark, sf_dir, "metric_type")
     half = cols.agg(F.percentile_approx("change_id", 0.5).alias("half_id"))
     first = cols.join(F.broadcast(half), F.col("change_id") <= F.col("half_id"), "left_semi")
-    return serving.upsert(serving.latest_panes(first, "change_id"), cols, "change_id")
+    return served(serving.upsert(serving.latest_panes(first, "change_id"), cols, "change_id"))
 
 
 def upsert_applied(spark, sf_dir):
@@ -171,6 +183,11 @@ def upsert_applied(spark, sf_dir):
     return serving.applied_in_order(cols, "change_id").groupBy("applied").agg(F.count("*").alias("changes"))
 
 
+def upsert_verdicts(spark, sf_dir):
+    """Every change, deletes too, and whether it is taken."""
+    return serving.applied_in_order(feed(spark, sf_dir), "change_id").select("change_id", "aggregate_id", "pane_index", "applied")
+
+
 def serving_rows(spark, sf_dir):
     return serving.serving_rows(history(spark, sf_dir))
 
@@ -188,8 +205,8 @@ def pane_timeline(spark, sf_dir):
 
 
 def pane_marks(spark, sf_dir):
-    marked = aggregates.panes(history(spark, sf_dir).select("change_id", "aggregate_id", "pane_index"))
-    return marked.groupBy("is_first", "is_last").agg(F.count("*").alias("panes"))
+    """Every pane of the history and whether it is its aggregate's first or last."""
+    return aggregates.panes(history(spark, sf_dir).select("change_id", "aggregate_id", "pane_index"))
 
 
 def health_table(spark, sf_dir):
@@ -217,8 +234,8 @@ def verdict_checked(spark, sf_dir):
 
 
 def unexpected_assets(spark, sf_dir):
-    healthy = expected(spark, sf_dir).where("NOT expected_air_leak")
-    return serving.unexpected_assets(fleet_verdict(spark, sf_dir), healthy)
+    """Assets with a verdict that are not among those expected to leak."""
+    return serving.unexpected_assets(fleet_verdict(spark, sf_dir), expected(spark, sf_dir).where("expected_air_leak"))
 
 
 def fleet_checks(spark, sf_dir):
@@ -267,17 +284,15 @@ def iso_times(spark, sf_dir):
 
 
 def stream_signal_stats(spark, sf_dir):
-    """Windows and their readings by the streaming pipeline run to its source's end.
-
-    Of copies with different values a stream keeps the first to come, so the values aren't compared.
-    """
+    """Windows and their statistics by the streaming job with panes, run to its source's end."""
     from tidewatch.streaming import pipeline
 
-    return pipeline.run_to_end(spark, f"{sf_dir}/sensor_readings.parquet").where("readings IS NOT NULL").select("aggregate_id", "readings")
+    stats = pipeline.run_to_end(spark, f"{sf_dir}/sensor_readings.parquet").where("readings IS NOT NULL")
+    return stats.select("aggregate_id", "readings", "value_mean", "value_min", "value_max", "value_stddev")
 
 
 def stream_panes(spark, sf_dir):
-    """Panes of every window in the order the feed was ingested, by the stateful processor: early, on time, late and last."""
+    """Panes of every window's signals and health in the order the feed was ingested: early, on time, late and last."""
     from tidewatch.streaming import pipeline
 
     return pipeline.replay_panes(readings(spark, sf_dir))
@@ -288,7 +303,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (admit_reasons, admit_wire, quarantine_records, too_late_wire, too_late_records, flatten_wire, encode_readings, dedup_counts, combined_aggregates, empty_stats, unpivot_wide, unpivot_v1, registry_join, segment_range_join, segment_row_counts, first_minutes, first_assets, asset_span, latest_pane, upsert_twice, upsert_applied, serving_rows, count_by_metric, multi_pane_ids, pane_timeline, pane_marks, health_table, health_last, motor_series, last_200, fleet_verdict, verdict_checked, unexpected_assets, fleet_checks, verdict_report, top_readings, distinct_keys, key_differences, replay_counts, replay_events, iso_times, stream_signal_stats, stream_panes)
+    own = (admit_reasons, admit_wire, quarantine_records, too_late_wire, too_late_records, flatten_wire, encode_readings, dedup_counts, combined_aggregates, empty_stats, unpivot_wide, unpivot_v1, registry_join, segment_range_join, segment_row_counts, first_minutes, first_assets, asset_span, latest_pane, upsert_twice, upsert_applied, upsert_verdicts, serving_rows, count_by_metric, multi_pane_ids, pane_timeline, pane_marks, health_table, health_last, motor_series, last_200, fleet_verdict, verdict_checked, unexpected_assets, fleet_checks, verdict_report, top_readings, distinct_keys, key_differences, replay_counts, replay_events, iso_times, stream_signal_stats, stream_panes)
     named = {"health_indicator_1h": flagship, "health_indicator_5m": _health(300), "signal_stats_5m": _signal(300), "signal_stats_1h": _signal(3600)}
     return named | {f.__name__: f for f in own}
 
@@ -352,8 +367,9 @@ def health_sql(seconds: int) -> str:
   asset_id, {times(seconds)}, {INDICATOR} FROM deduped GROUP BY asset_id, ws"""
 
 
-HISTORY = "history AS (SELECT * FROM aggregates WHERE lower(trim(op)) IN ('insert', 'update', 'i', 'u'))"
-SERVED = f"""{HISTORY}, served AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY pane_index DESC, change_id DESC) AS rn FROM history) WHERE rn = 1)"""
+DELETE = "coalesce(lower(trim(op)) IN ('d', 'del', 'delete', 'remove'), false)"
+HISTORY = f"history AS (SELECT * FROM aggregates WHERE NOT {DELETE})"
+SERVED = f"""{HISTORY}, served AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY pane_index DESC, change_id DESC) AS rn FROM aggregates) WHERE rn = 1 AND NOT {DELETE})"""
 VERDICT = f"""{SERVED}, verdict AS (SELECT asset_id, count(*) AS windows, count(*) FILTER (WHERE air_leak_suspected) AS flagged_windows, {r4('avg(running_ratio)')} AS running_ratio,
   {r4('avg(oil_temperature_mean)')} AS oil_temperature_mean, count(*) FILTER (WHERE air_leak_suspected) * 2 > count(*) AS air_leak_suspected
   FROM served WHERE metric_type = 'apu_health_indicator' GROUP BY asset_id)"""
@@ -416,7 +432,7 @@ UNION ALL SELECT 'apu_health_indicator|' || asset_id || '|' || {iso('ws')}, 'apu
         "unpivot_wide": f"WITH {WIDE}, {long_sql('wide', 2)} SELECT CAST(2 AS INTEGER) AS schema_version, asset_id || '|' || stream || '|' || {iso_us('us')} AS event_id, asset_id, stream, channel, unit, value, {iso_us('us')} AS source_event_time, {iso_us('us')} AS event_time, {iso_us('us')} AS ingestion_time FROM long",
         "unpivot_v1": f"WITH {WIDE}, {long_sql('wide', 1)} SELECT stream, count(*) AS readings, count(DISTINCT asset_id) AS assets FROM long GROUP BY stream",
         "registry_join": "SELECT r.stream AS r_stream, r.unit AS r_unit, count(*) AS readings, count(*) FILTER (WHERE s.stream = r.stream) AS agreeing FROM sensor_readings s LEFT JOIN stream_registry r ON lower(trim(s.channel)) = lower(r.channel) GROUP BY ALL",
-        "segment_range_join": f"WITH {WIDE}, {SEGMENTS} SELECT w.asset_id, source_event_time, condition_label, failure_ref, motor_current, oil_temperature FROM wide w JOIN segments s ON w.asset_id = s.asset_id AND us >= s_from AND us < s_to",
+        "segment_range_join": f"WITH {WIDE}, {SEGMENTS} SELECT w.asset_id, source_event_time, condition_label, failure_ref, CASE WHEN NOT isnan(motor_current) THEN motor_current END AS motor_current, CASE WHEN NOT isnan(oil_temperature) THEN oil_temperature END AS oil_temperature FROM wide w JOIN segments s ON w.asset_id = s.asset_id AND us >= s_from AND us < s_to",
         "segment_row_counts": f"WITH {WIDE}, {SEGMENTS} SELECT w.asset_id, {iso_us('s_from')} AS starts_at, condition_label, count(*) AS rows FROM wide w JOIN segments s ON w.asset_id = s.asset_id AND us >= s_from AND us < s_to GROUP BY ALL",
         "first_minutes": f"WITH {WIDE} SELECT asset_id, source_event_time, tp2, h1 FROM (SELECT *, min(us) OVER (PARTITION BY asset_id) AS start_us FROM wide) WHERE us < start_us + 300000000",
         "first_assets": "SELECT asset_id, count(*) AS rows FROM wide_readings WHERE asset_id IN (SELECT DISTINCT asset_id FROM wide_readings ORDER BY asset_id LIMIT 3) GROUP BY asset_id",
@@ -425,17 +441,18 @@ UNION ALL SELECT 'apu_health_indicator|' || asset_id || '|' || {iso('ws')}, 'apu
         "upsert_twice": f"WITH {SERVED} SELECT aggregate_id, pane_index, change_id, metric_type FROM served",
         "upsert_applied": f"""WITH {HISTORY}, stored AS (SELECT aggregate_id, max(pane_index) AS pane_index FROM history WHERE change_id % 2 = 0 GROUP BY aggregate_id)
 SELECT coalesce(h.pane_index >= s.pane_index, true) AS applied, count(*) AS changes FROM history h LEFT JOIN stored s ON h.aggregate_id = s.aggregate_id WHERE h.change_id % 2 = 1 GROUP BY ALL""",
+        "upsert_verdicts": """SELECT change_id, aggregate_id, pane_index, coalesce(pane_index >= max(pane_index) OVER (PARTITION BY aggregate_id ORDER BY change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS applied FROM aggregates""",
         "count_by_metric": f"WITH {SERVED} SELECT count(*) AS aggregates, count(*) FILTER (WHERE metric_type = 'apu_signal_stats') AS signal_stats, count(*) FILTER (WHERE metric_type = 'apu_health_indicator') AS health_indicators FROM served",
         "multi_pane_ids": f"WITH {HISTORY} SELECT aggregate_id, count(DISTINCT pane_index) AS panes FROM history GROUP BY aggregate_id HAVING count(DISTINCT pane_index) > 1",
         "pane_timeline": f"WITH {HISTORY} SELECT aggregate_id, pane_index, pane_timing, window_start FROM history WHERE aggregate_id IN (SELECT aggregate_id FROM history GROUP BY aggregate_id HAVING count(DISTINCT pane_index) > 1)",
-        "pane_marks": f"WITH {HISTORY} SELECT is_first, is_last, count(*) AS panes FROM (SELECT pane_index = min(pane_index) OVER w AS is_first, pane_index = max(pane_index) OVER w AS is_last FROM history WINDOW w AS (PARTITION BY aggregate_id)) GROUP BY ALL",
+        "pane_marks": f"WITH {HISTORY} SELECT change_id, aggregate_id, pane_index, pane_index = min(pane_index) OVER w AS is_first, pane_index = max(pane_index) OVER w AS is_last FROM history WINDOW w AS (PARTITION BY aggregate_id)",
         "health_table": f"WITH {SERVED} SELECT asset_id, window_start, running_ratio, oil_temperature_mean, air_leak_suspected, pane_index, pane_timing FROM served WHERE metric_type = 'apu_health_indicator'",
         "health_last": f"WITH {SERVED} SELECT aggregate_id, asset_id, running_ratio FROM served WHERE metric_type = 'apu_health_indicator' AND is_last",
         "motor_series": f"WITH {SERVED} SELECT asset_id, window_start, value_mean, value_min, value_max FROM served WHERE metric_type = 'apu_signal_stats' AND stream = 'motor_current'",
         "last_200": f"WITH {SERVED} SELECT aggregate_id, window_start, value_mean FROM served WHERE metric_type = 'apu_signal_stats' ORDER BY window_start DESC, aggregate_id DESC LIMIT 200",
         "fleet_verdict": f"WITH {VERDICT} SELECT * FROM verdict",
         "verdict_checked": f"WITH {VERDICT}, {EXPECTED}, {CHECKED} SELECT * FROM checked",
-        "unexpected_assets": f"WITH {VERDICT}, {EXPECTED} SELECT asset_id FROM verdict WHERE asset_id NOT IN (SELECT asset_id FROM expected WHERE NOT expected_air_leak)",
+        "unexpected_assets": f"WITH {VERDICT}, {EXPECTED} SELECT asset_id FROM verdict WHERE asset_id NOT IN (SELECT asset_id FROM expected WHERE expected_air_leak)",
         "fleet_checks": f"""WITH {VERDICT}, {EXPECTED}, {CHECKED} SELECT coalesce(bool_and(ok), true) AND (SELECT count(*) FROM verdict WHERE asset_id NOT IN (SELECT asset_id FROM expected)) = 0 AS ok,
   count(DISTINCT observed_air_leak) = 2 AS separation_observed, count(*) AS assets, (SELECT count(*) FROM verdict WHERE asset_id NOT IN (SELECT asset_id FROM expected)) AS unexpected FROM checked""",
         "verdict_report": f"WITH {VERDICT}, {EXPECTED}, {CHECKED} SELECT asset_id, format('{{:<10}} {{:<8}} {{:<8}} {{:>6}}', asset_id, coalesce(CAST(expected_air_leak AS VARCHAR), '-'), coalesce(CAST(observed_air_leak AS VARCHAR), '-'), coalesce(CAST(windows AS VARCHAR), '-')) AS line FROM checked",
@@ -447,5 +464,75 @@ SELECT side, count(*) AS keys FROM (SELECT 'missing' AS side, aggregate_id FROM
         "replay_counts": f"WITH {REPLAYED} SELECT count(*) AS events, count(*) FILTER (WHERE copy = 1) AS duplicates, " + ", ".join(f"count(*) FILTER (WHERE copy = 0 AND fault = '{f}') AS {f}" for f in ("out_of_order", "late", "too_late")) + " FROM copied",
         "replay_events": f"WITH {REPLAYED} SELECT event_id, value, fault, CAST(copy AS INTEGER) AS copy, {iso_us('event_us')} AS event_time, {iso_us('(event_us + lag * 1000000)')} AS ingestion_time, {r4('offset_s + lag')} AS delivery_s FROM copied",
         "iso_times": f"SELECT delivery_id, {parsed('source_event_time')} // 1000 AS source_ms, {iso_us('epoch_us(ingestion_time)')} AS ingestion_iso FROM sensor_readings",
-        "stream_signal_stats": f"WITH {windows(300)} SELECT 'apu_signal_stats|' || asset_id || '|' || stream || '|' || {iso('ws')} AS aggregate_id, count(*) AS readings FROM deduped GROUP BY asset_id, stream, ws",
+        "stream_signal_stats": f"WITH {windows(300)} SELECT 'apu_signal_stats|' || asset_id || '|' || stream || '|' || {iso('ws')} AS aggregate_id, {STATS} FROM deduped GROUP BY asset_id, stream, ws",
+        "stream_panes": panes_sql(),
+        "quarantine_records": f"""WITH {_wire_cte()} SELECT coalesce(kafka_key, '') AS key, reason, CASE reason WHEN 'missing_field' THEN reason || ': ' || missing WHEN 'unsupported_schema_version' THEN reason || ': ' || coalesce(o->>'$.schema_version', 'null')
+  WHEN 'unknown_stream' THEN reason || ': ' || coalesce(stream, 'null') WHEN 'non_finite_value' THEN reason || ': ' || coalesce(o->>'$.value', 'null') ELSE reason END AS detail, txt AS payload, kafka_key
+  FROM judged WHERE reason IS NOT NULL AND reason <> 'dropped_by_horizon'""",
+        "encode_readings": f"""WITH events AS (SELECT delivery_id, asset_id, {json_sql({"asset_id": "asset_id", "asset_type": "asset_type", "event_id": "event_id", "event_time": iso_us("epoch_us(event_time)"), "ingestion_time": iso_us("epoch_us(ingestion_time)"), "schema_version": "schema_version", "sensor": "{channel, stream, unit}", "source_event_time": "source_event_time", "value": "value"})} AS event FROM sensor_readings)
+SELECT coalesce(asset_id, '') AS key, {json_sql({"asset_id": "asset_id", "delivery_id": "delivery_id", "event": "event"})} AS value FROM events""",
+        "serving_rows": f"""WITH {HISTORY} SELECT aggregate_id, metric_type, asset_id, stream, window_start, window_end, pane_index, pane_timing, CAST(coalesce(is_last, false) AS INTEGER) AS is_last, {serving_json()} AS payload,
+  coalesce(regexp_replace(strftime(emitted_at, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', ''), '') AS updated_at FROM history""",
     }
+
+
+#: Columns of the change feed by kind.
+FEED_TEXT = ("aggregate_id", "asset_id", "corrections_close_at", "metric_type", "op", "pane_timing", "stream", "unit", "window_end", "window_start")
+FEED_WHOLE = ("change_id", "motor_readings", "pane_index", "readings", "schema_version", "is_first", "is_last", "air_leak_suspected")
+FEED_NUMBER = ("oil_temperature_mean", "running_ratio", "value_max", "value_mean", "value_min", "value_stddev")
+FEED_TIME = ("arrived_at", "emitted_at")
+
+
+def json_sql(fields: dict[str, str]) -> str:
+    """A JSON object with the fields in order; nulls are kept, numbers as Java writes them."""
+    parts = []
+    for name, x in sorted(fields.items()):
+        if x == "{channel, stream, unit}":
+            text = json_sql({"channel": "channel", "stream": "stream", "unit": "unit"})
+        elif name in ("value", *FEED_NUMBER) and x != "event":
+            text = f"CASE WHEN isnan({x}) THEN '\"NaN\"' WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN '\"Infinity\"' ELSE '\"-Infinity\"' END ELSE {java_double(x)} END"
+        else:
+            text = f"CAST(to_json({x}) AS VARCHAR)"
+        parts.append(f"'\"{name}\":' || coalesce({text}, 'null')")
+    return "('{' || " + " || ',' || ".join(parts) + " || '}')"
+
+
+def java_double(x: str) -> str:
+    """A finite double's shortest text with Java's exponents: beyond 10**7 and below 10**-3."""
+    digits = f"regexp_replace(replace(regexp_replace(format('{{:.16e}}', abs({x})), 'e.*', ''), '.', ''), '0+$', '')"
+    plain = f"CASE WHEN CAST({x} AS VARCHAR) LIKE '%e%' THEN format('{{:f}}', {x}) ELSE CAST({x} AS VARCHAR) END"
+    short = f"CAST({x} AS VARCHAR)"
+    del digits
+    exponent = f"CAST(floor(log10(abs({x}))) AS INTEGER)"
+    scaled = f"CAST(CAST({short} AS DOUBLE) / pow(10, {exponent}) AS VARCHAR)"
+    return f"CASE WHEN {x} = 0 OR (abs({x}) >= 1e-3 AND abs({x}) < 1e7) THEN {plain} ELSE round(CAST({scaled} AS DOUBLE), 15) || 'E' || {exponent} END"
+
+
+def serving_json() -> str:
+    times = {c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'" for c in FEED_TIME}
+    return json_sql({**{c: c for c in (*FEED_TEXT, *FEED_WHOLE, *FEED_NUMBER)}, **times})
+
+
+def panes_sql() -> str:
+    """Panes by the rule: early per step that changes a window before the watermark passes its end, on time then, late per step after, and the last again."""
+    base = f"""{windows(300)}, units AS (SELECT d.* REPLACE (coalesce(d.unit, r.unit) AS unit), epoch_us(ingestion_time) // 10000000 AS step FROM deduped d LEFT JOIN stream_registry r ON d.stream = r.stream),
+tops AS (SELECT epoch_us(ingestion_time) // 10000000 AS step, max(epoch_us(event_time) // 1000) AS top FROM routed WHERE reason IS NULL GROUP BY 1),
+marks AS (SELECT step, greatest(coalesce(max(top) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 720000, 0), 0) AS mark, (SELECT max(top) FROM tops) - 720000 AS end_mark FROM tops),
+arrived AS (SELECT *, (ws + 300) * 1000 AS closes, (ws + 300) * 1000 - 720000 AS due FROM units JOIN marks USING (step) WHERE mark < (ws + 300) * 1000)"""
+
+    def kind(name: str, key: str, values: str) -> str:
+        return f"""{name}_steps AS (SELECT DISTINCT {key}, step, mark, end_mark, closes, due, {values} FROM arrived WINDOW upto AS (PARTITION BY {key} ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{name}_numbered AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY step) AS i, count(*) FILTER (WHERE mark < due) OVER (PARTITION BY {key}) AS e, count(*) OVER (PARTITION BY {key}) AS n FROM {name}_steps),
+{name}_panes AS (
+  SELECT *, CASE WHEN mark < due OR (e = 0 AND i = 1) THEN i - 1 ELSE i END AS idx, CASE WHEN mark < due OR (e = 0 AND i = 1) THEN 'EARLY' ELSE 'LATE' END AS pane_timing, false AS is_last FROM {name}_numbered
+  UNION ALL SELECT *, i, 'ON_TIME', false FROM {name}_numbered WHERE (e = 0 AND i = 1) OR (i = e AND (due <= end_mark OR e < n))
+  UNION ALL SELECT *, i, CASE WHEN mark < due OR (e = 0 AND i = 1) THEN 'ON_TIME' ELSE 'LATE' END, true FROM {name}_numbered WHERE i = n AND closes <= end_mark)"""
+
+    signal = kind("signal", "asset_id, stream, unit, ws", "count(*) OVER upto AS readings, avg(value) OVER upto AS a, min(value) OVER upto AS lo, max(value) OVER upto AS hi, stddev_pop(value) OVER upto AS sd")
+    health = kind("health", "asset_id, ws", "count(*) FILTER (WHERE stream = 'motor_current') OVER upto AS motor, count(*) FILTER (WHERE stream = 'motor_current' AND value >= 1.0) OVER upto AS running, coalesce(avg(value) FILTER (WHERE stream = 'oil_temperature') OVER upto, 0.0) AS oil")
+    pane = "CAST(idx AS INTEGER) AS pane_index, pane_timing, idx = 0 AS is_first, is_last"
+    share = "coalesce(running / nullif(motor, 0), 0.0)"
+    return f"""WITH {base}, {signal}, {health}
+SELECT 'apu_signal_stats' AS metric_type, asset_id, stream, unit, ws AS window_s, {pane}, readings, {r4('a')} AS value_mean, {r4('lo')} AS value_min, {r4('hi')} AS value_max, {r4('sd')} AS value_stddev,
+  CAST(NULL AS BIGINT) AS motor_readings, CAST(NULL AS DOUBLE) AS running_ratio, CAST(NULL AS DOUBLE) AS oil_temperature_mean, CAST(NULL AS BOOLEAN) AS air_leak_suspected FROM signal_panes
+UNION ALL SELECT 'apu_health_indicator', asset_id, NULL, NULL, ws, {pane}, NULL, NULL, NULL, NULL, NULL, motor, {r4(share)}, {r4('oil')}, {share} >= 0.95 AND oil >= 70.0 FROM health_panes"""

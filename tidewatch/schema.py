@@ -30,19 +30,6 @@ WIRE_EVENT = T.StructType(
         T.StructField("value", T.DoubleType()), T.StructField("event_time", T.StringType()), T.StructField("ingestion_time", T.StringType()), T.StructField("source_event_time", T.StringType()),
     ]
 )
-READING = T.StructType(
-    [
-        T.StructField("event_id", T.StringType()), T.StructField("asset_id", T.StringType()), T.StructField("stream", T.StringType()), T.StructField("channel", T.StringType()), T.StructField("unit", T.StringType()),
-        T.StructField("value", T.DoubleType()), T.StructField("event_time", T.TimestampType()), T.StructField("ingestion_time", T.TimestampType()),
-    ]
-)
-SERVING = T.StructType(
-    [
-        T.StructField("aggregate_id", T.StringType()), T.StructField("metric_type", T.StringType()), T.StructField("asset_id", T.StringType()), T.StructField("stream", T.StringType()),
-        T.StructField("window_start", T.StringType()), T.StructField("window_end", T.StringType()), T.StructField("pane_index", T.IntegerType()), T.StructField("pane_timing", T.StringType()),
-        T.StructField("is_last", T.IntegerType()), T.StructField("payload", T.StringType()), T.StructField("updated_at", T.StringType()),
-    ]
-)
 
 
 def stream_registry(spark: SparkSession) -> DataFrame:

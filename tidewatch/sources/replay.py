@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,27 +13,17 @@ from tidewatch.functions.numeric import uniform
 from tidewatch.functions.timestamps import parse_iso
 
 
-@dataclass(frozen=True)
-class Scenario:
-    """Rates and lags in seconds of the faults."""
+#: Faults by scenario: class, share of the readings, lag in seconds; drawn in this order, repeats apart from the rest. Fixed values.
+SCENARIOS: dict[str, tuple[tuple[str, float, int], ...]] = {
+    "normal": (),
+    "adverse": (("too_late", 0.005, 1800), ("late", 0.02, 300), ("out_of_order", 0.05, 60), ("duplicate", 0.02, 0)),
+}
 
-    duplicate_rate: float = 0.0
-    out_of_order_rate: float = 0.0
-    out_of_order_lag_s: int = 0
-    late_rate: float = 0.0
-    late_lag_s: int = 0
-    too_late_rate: float = 0.0
-    too_late_lag_s: int = 0
 
-
-#: Named scenarios; fixed values.
-SCENARIOS = {"normal": Scenario(), "adverse": Scenario(0.02, 0.05, 60, 0.02, 300, 0.005, 1800)}
-
-
-def replay(readings: DataFrame, scenario: Scenario = SCENARIOS["normal"], *, seed: int = 7, target_start: datetime | None = None, speedup: float = 120.0) -> DataFrame:
+def replay(readings: DataFrame, scenario: Sequence[tuple[str, float, int]] = SCENARIOS["normal"], *, seed: int = 7, target_start: datetime | None = None, speedup: float = 120.0) -> DataFrame:
     """Readings on one common timeline with faults: new ``event_time``, ``ingestion_time``, and delivery columns.
 
-    Every asset starts at ``target_start`` (by default so that the longest asset ends now). One draw per
+    ``scenario`` has rows as in ``SCENARIOS``. Every asset starts at ``target_start`` (by default so that the longest asset ends now). One draw per
     reading picks too late, late, out of order or none; another, independent draw a second delivery, which
     has the same ``event_id``. Draws depend on ``event_id`` and ``seed`` only, not on partitions or order.
     ``offset_s`` is the event's place on the timeline, ``delivery_s`` with its lag, ``due_s`` the same at
@@ -47,14 +38,15 @@ def replay(readings: DataFrame, scenario: Scenario = SCENARIOS["normal"], *, see
         target_start = datetime.now(timezone.utc) - timedelta(seconds=longest)
     placed = timed.join(span, F.col("asset_id").eqNullSafe(F.col("r_asset"))).withColumn("offset_s", (F.unix_micros("r_at") - F.unix_micros("r_start")) / F.lit(1e6))
     roll, again = uniform(seed, "event_id"), uniform(seed + 1, "event_id")
-    sc = scenario
-    edges = (sc.too_late_rate, sc.too_late_rate + sc.late_rate, sc.too_late_rate + sc.late_rate + sc.out_of_order_rate)
-    fault = F.when(roll < edges[0], "too_late").when(roll < edges[1], "late").when(roll < edges[2], "out_of_order").otherwise("none")
-    lag = F.when(F.col("fault") == "too_late", sc.too_late_lag_s).when(F.col("fault") == "late", sc.late_lag_s).when(F.col("fault") == "out_of_order", sc.out_of_order_lag_s).otherwise(0)
+    own = [f for f in scenario if f[0] != "duplicate"]
+    fault, lag = F.lit("none"), F.lit(0)
+    for (name, _, seconds), edge in reversed(list(zip(own, accumulate(f[1] for f in own)))):
+        fault, lag = F.when(roll < edge, name).otherwise(fault), F.when(roll < edge, seconds).otherwise(lag)
+    repeats = sum(f[1] for f in scenario if f[0] == "duplicate")
     start_us = int(target_start.replace(tzinfo=target_start.tzinfo or timezone.utc).timestamp() * 1_000_000)
     event_us = F.lit(start_us) + (F.col("offset_s") * 1_000_000).cast("long")
-    planned = placed.withColumn("fault", fault).withColumn("lag_s", lag).withColumns({"event_time": F.timestamp_micros(event_us), "ingestion_time": F.timestamp_micros(event_us + F.col("lag_s") * 1_000_000), "delivery_s": F.col("offset_s") + F.col("lag_s")})
-    copies = F.when(again < sc.duplicate_rate, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    planned = placed.withColumns({"fault": fault, "lag_s": lag}).withColumns({"event_time": F.timestamp_micros(event_us), "ingestion_time": F.timestamp_micros(event_us + F.col("lag_s") * 1_000_000), "delivery_s": F.col("offset_s") + F.col("lag_s")})
+    copies = F.when(again < repeats, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return planned.withColumn("copy", F.explode(copies)).withColumn("due_s", F.col("delivery_s") / F.lit(speedup)).drop("r_at", "r_asset", "r_start", "r_end")
 
 
