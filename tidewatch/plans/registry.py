@@ -498,14 +498,9 @@ def json_sql(fields: dict[str, str]) -> str:
 
 
 def java_double(x: str) -> str:
-    """A finite double's shortest text with Java's exponents: beyond 10**7 and below 10**-3."""
-    digits = f"regexp_replace(replace(regexp_replace(format('{{:.16e}}', abs({x})), 'e.*', ''), '.', ''), '0+$', '')"
-    plain = f"CASE WHEN CAST({x} AS VARCHAR) LIKE '%e%' THEN format('{{:f}}', {x}) ELSE CAST({x} AS VARCHAR) END"
-    short = f"CAST({x} AS VARCHAR)"
-    del digits
+    """A finite double's text with Java's exponents: from 10**7 on and below 10**-3."""
     exponent = f"CAST(floor(log10(abs({x}))) AS INTEGER)"
-    scaled = f"CAST(CAST({short} AS DOUBLE) / pow(10, {exponent}) AS VARCHAR)"
-    return f"CASE WHEN {x} = 0 OR (abs({x}) >= 1e-3 AND abs({x}) < 1e7) THEN {plain} ELSE round(CAST({scaled} AS DOUBLE), 15) || 'E' || {exponent} END"
+    return f"CASE WHEN {x} = 0 OR (abs({x}) >= 1e-3 AND abs({x}) < 1e7) THEN CAST({x} AS VARCHAR) ELSE CAST(round({x} / pow(10.0, {exponent}), 15) AS VARCHAR) || 'E' || {exponent} END"
 
 
 def serving_json() -> str:
