@@ -439,8 +439,8 @@ UNION ALL SELECT 'apu_health_indicator|' || asset_id || '|' || {iso('ws')}, 'apu
         "asset_span": f"WITH {WIDE} SELECT asset_id, {iso_us('min(us)')} AS first_time, {iso_us('max(us)')} AS last_time, (max(us) - min(us)) / 1e6 AS duration_s FROM wide GROUP BY asset_id",
         "latest_pane": f"WITH {SERVED} SELECT aggregate_id, pane_index, change_id, metric_type, running_ratio, value_mean FROM served",
         "upsert_twice": f"WITH {SERVED} SELECT aggregate_id, pane_index, change_id, metric_type FROM served",
-        "upsert_applied": f"""WITH {HISTORY}, stored AS (SELECT aggregate_id, max(pane_index) AS pane_index FROM history WHERE change_id % 2 = 0 GROUP BY aggregate_id)
-SELECT coalesce(h.pane_index >= s.pane_index, true) AS applied, count(*) AS changes FROM history h LEFT JOIN stored s ON h.aggregate_id = s.aggregate_id WHERE h.change_id % 2 = 1 GROUP BY ALL""",
+        "upsert_applied": f"""WITH {HISTORY}, judged AS (SELECT coalesce(pane_index >= max(pane_index) OVER (PARTITION BY aggregate_id ORDER BY change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS applied FROM history)
+SELECT applied, count(*) AS changes FROM judged GROUP BY applied""",
         "upsert_verdicts": """SELECT change_id, aggregate_id, pane_index, coalesce(pane_index >= max(pane_index) OVER (PARTITION BY aggregate_id ORDER BY change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS applied FROM aggregates""",
         "count_by_metric": f"WITH {SERVED} SELECT count(*) AS aggregates, count(*) FILTER (WHERE metric_type = 'apu_signal_stats') AS signal_stats, count(*) FILTER (WHERE metric_type = 'apu_health_indicator') AS health_indicators FROM served",
         "multi_pane_ids": f"WITH {HISTORY} SELECT aggregate_id, count(DISTINCT pane_index) AS panes FROM history GROUP BY aggregate_id HAVING count(DISTINCT pane_index) > 1",
