@@ -107,9 +107,12 @@ class PaneProcessor(StatefulProcessor):
             m2 = float(((v - mean) ** 2).sum())
             s = list(self.signals.getValue(of)) if self.signals.containsKey(of) else [0, 0.0, 0.0, np.inf, -np.inf, 0, ""]
             total, apart = s[0] + n, mean - s[1]
-            s = [total, s[1] + apart * n / total, s[2] + m2 + apart * apart * s[0] * n / total, float(min(s[3], v.min())), float(max(s[4], v.max())), s[5], timing]
-            out.append(self._signal(key, of, s, timing, s[5]))
-            s[5] += 1
+            # a signal first seen after the window's on-time pane has an early one, and its on-time one with it
+            given = ["EARLY", "ON_TIME"] if a[0] and not s[5] else [timing]
+            s = [total, s[1] + apart * n / total, s[2] + m2 + apart * apart * s[0] * n / total, float(min(s[3], v.min())), float(max(s[4], v.max())), s[5], given[-1]]
+            for kind in given:
+                out.append(self._signal(key, of, s, kind, s[5]))
+                s[5] += 1
             self.signals.updateValue(of, tuple(s))
         motor, oil = new.loc[new["stream"] == MOTOR, "value"], new.loc[new["stream"] == OIL, "value"]
         a[1:5] = [a[1] + len(motor), a[2] + int((motor >= self.config.motor_running_threshold).sum()), a[3] + len(oil), a[4] + float(oil.sum())]
