@@ -62,7 +62,7 @@ def decode_wire(records: DataFrame, payload: str = "payload", key: str = "kafka_
     e, i = F.col("event_time"), F.col("ingestion_time")
     reason, said = first_of([
         ("invalid_json", m.isNull(), None), ("missing_field", missing.isNotNull(), missing), ("unsupported_schema_version", F.col("schema_version").isNull(), F.coalesce(get("schema_version"), F.lit("null"))),
-        ("unknown_stream", ~F.coalesce(F.col("w_stream").isin(*STREAM_NAMES), F.lit(False)), F.coalesce(F.col("w_stream"), F.lit("null"))), ("non_finite_value", ~finite("value"), F.coalesce(get("value"), F.lit("null"))),
+        ("unknown_stream", ~F.coalesce(F.col("w_stream").isin(*STREAM_NAMES), F.lit(False)), F.coalesce(F.col("w_stream"), F.lit("null"))), ("non_finite_value", ~finite("value"), F.coalesce(F.regexp_replace(get("value"), r'^"([+-]?\w+)"$', "$1"), F.lit("null"))),  # bare NaN comes in quotes
         ("invalid_timestamp", e.isNull() | i.isNull(), None), *time_rules(e, i, config),
     ])
     out = fields.withColumns({"reason": reason, "detail": said, "lag_s": lag_seconds(e, i)})
