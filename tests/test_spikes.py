@@ -1,11 +1,14 @@
 """Spikes, stuck runs over block edges, bounds."""
 
+import os
 import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pytest
 
 from tidewatch.operators import spikes
+from tidewatch.plans import problems
 
 T0 = datetime(2025, 3, 1, tzinfo=timezone.utc)
 SCHEMA = "asset_id string, stream string, value double, event_time timestamp, delivery_id long, event_id string, block int"
@@ -82,6 +85,37 @@ def test_quantile_points_stand_for_all_values():
     assert values[at == 2][-1] == 999.0 and spikes._points(x[:0], g[:0])[0].size == 0
 
 
+def test_scatters_reach_null_sources_and_sparse_blocks(spark):
+    rnd = np.random.RandomState(5)
+    rows = []
+    for asset, stream in ((None, "s"), ("a", None), (None, None), ("a", "s")):
+        v = (5 + rnd.randn(600)).round(4)
+        v[300] = 60.0
+        rows += [(asset, stream, float(x), T0 + timedelta(seconds=60 * i), len(rows) + i, "e", 0) for i, x in enumerate(v)]
+        rows += [(asset, stream, x, T0 + timedelta(days=9, seconds=60 * i), len(rows) + i, "e", 0) for i, x in enumerate([5.0, 5.0, 5.0, 5.1, 7.0])]  # usual for the source
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = [sorted(r.delivery_id for r in spikes.suspicious(df, ("asset_id", "stream"), "event_time", "value", "delivery_id", **kw).where("spike").collect()) for kw in ({}, {"sources": 4})]
+    assert found[0] == found[1] == [r[4] for r in rows if r[2] == 60.0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_no_table_that_grows_with_the_input_is_broadcast(spark, monkeypatch):
+    """Neither scatters nor edge runs nor odd messages; the bounds are the one small table."""
+    written, plans = spikes.written, []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(spikes, "written", seen)
+    monkeypatch.setattr(problems, "written", seen)
+    few = sorted(map(tuple, problems.p5_readings(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(problems, "SMALL_BYTES", -1)
+    many = problems.p5_readings(spark, "/root/testdata/sf0.001")
+    plans.append(many._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("BroadcastExchange") for p in plans] == [0, 0, 0, 0, 1] and few == sorted(map(tuple, many.collect()))
+
+
 def test_unusable_values_few_readings_and_empty(spark):
     assert judged(spark, [1.0, None, float("nan"), float("inf"), 500.0]) == (set(), set())
     assert judged(spark, []) == (set(), set())

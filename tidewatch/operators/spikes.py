@@ -28,8 +28,8 @@ from tidewatch.shared import partitions_for, written
 SPIKE, STUCK, EDGE = 1, 2, 4
 MAD = 1.4826
 CHUNK = 150_000
-#: Scatters of at most so many sources are broadcast.
-MOST_SOURCES = 500_000
+#: Scatters of at most so many sources are broadcast; more would take the driver's memory.
+MOST_SOURCES = 10_000
 
 
 def _row_median(m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -140,7 +140,8 @@ def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, iden
     are rows without a time; null keys are a source of their own; a source with fewer than three readings
     nearby has no spikes. Every reading comes out at most once. ``halo_seconds`` must be at least twice
     the reach of the windows, which is 1,800 seconds. ``sources`` is a bound on the number of sources, if one
-    is known: up to ``MOST_SOURCES`` their scatters, a number each, are broadcast, else joined by shuffle.
+    is known: up to ``MOST_SOURCES`` their scatters, a number each, are broadcast. Else each goes to the
+    partitions of its source's blocks, and the driver holds nothing that grows with the input.
     """
     k, cs = [f"k{i}" for i in range(len(keys))], [f"c{i}" for i in range(len(carry))]
     us = F.unix_micros(time)
@@ -150,7 +151,9 @@ def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, iden
     named = kept.where(finite(value) & F.col(time).isNotNull()).select(*[F.col(c).alias(a) for c, a in zip([*keys, *carry], [*k, *cs])], F.col(ident).cast("long").alias("id"), F.col(value).cast("double").alias("v"), us.alias("t"), own.alias("own"), F.when(inside <= halo, own - 1).alias("prev"), F.when(block - inside <= halo, own + 1).alias("next"))
     each = named.withColumn("block", F.explode(F.array_compact(F.array("own", "prev", "next")))).select(*k, *cs, "id", "v", "t", "block", (F.col("block") == F.col("own")).alias("core"))
     n = partitions or partitions_for(kept)
-    parted = each.repartition(n, *k, "block")
+    # by one value that is never null: a join on it finds the rows where they are, as it doesn't with null-safe keys
+    source = F.struct(*k)
+    parted = each.repartition(n, source, "block")
     ordered = lambda df: df.sortWithinPartitions(*k, "block", "t", "id")
     flag, edge, length = T.StructField("flag", T.IntegerType()), T.StructField("edge", T.IntegerType()), T.StructField("length", T.IntegerType())
     out = T.StructType([*[each.schema[c] for c in [*k, *cs, "id", "v", "block"]], flag, edge, length])
@@ -213,21 +216,22 @@ def suspicious(kept: DataFrame, keys: Sequence[str], time: str, value: str, iden
             d = deviations(b["v"].to_numpy(), group, b["t"].to_numpy())
             use = np.asarray(b["core"].to_numpy(), bool) & ~np.isnan(d)
             at, mads, weights = _points(d[use], group[use])
-            first = b.select(k).take(pa.array(np.flatnonzero(new)[at]))
-            yield from first.append_column("mad", pa.array(mads)).append_column("weight", pa.array(weights)).to_batches()
+            bare = np.setdiff1d(np.arange(int(new.sum())), at)  # blocks without a scatter of their own are told the source's too
+            at, mads, weights = np.r_[at, bare], np.r_[mads, np.full(len(bare), np.nan)], np.r_[weights, np.zeros(len(bare), np.int64)]
+            first = b.select([*k, "block"]).take(pa.array(np.flatnonzero(new)[at]))
+            yield from first.append_column("mad", pa.array(mads, from_pandas=True)).append_column("weight", pa.array(weights)).to_batches()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, new in blocks(batches):
             yield from judge(b, new).to_batches()
 
-    points = T.StructType([*[each.schema[c] for c in k], T.StructField("mad", T.DoubleType()), T.StructField("weight", T.LongType())])
-    usual = ordered(parted).mapInArrow(scatters, points).groupBy(*k).agg(F.expr("percentile(mad, 0.9, weight)").alias("scatter")).select(*[F.col(c).alias("u_" + c) for c in k], "scatter")
-    same = [F.col(c).eqNullSafe(F.col("u_" + c)) for c in k]
-    known = lambda df: df.withColumn("scatter", F.coalesce("scatter", F.lit(0.0))).drop(*["u_" + c for c in k])
+    points = T.StructType([*[each.schema[c] for c in k], T.StructField("u_block", T.LongType()), T.StructField("mad", T.DoubleType()), T.StructField("weight", T.LongType())])
+    usual = ordered(parted).mapInArrow(scatters, points).groupBy(*k).agg(F.expr("coalesce(percentile(mad, 0.9, weight), 0.0D)").alias("scatter"), F.collect_set("u_block").alias("u_blocks"))
     if sources is not None and sources <= MOST_SOURCES:
-        told = known(parted.join(F.broadcast(usual), same, "left"))  # sorted after it: Catalyst drops a sort below a join
+        usual, same = F.broadcast(usual.select(source.alias("u_source"), "scatter")), source == F.col("u_source")
     else:
-        told = known(each.join(usual, same, "left")).repartition(n, *k, "block")
+        usual, same = usual.select(source.alias("u_source"), F.explode("u_blocks").alias("u_block"), "scatter").hint("shuffle_hash"), (source == F.col("u_source")) & (F.col("block") == F.col("u_block"))
+    told = parted.join(usual, same, "left").drop("u_source", "u_block")  # sorted after it: Catalyst drops a sort below a join
     # read twice, for the runs at the blocks' edges: written, so that it isn't made twice
     seen = written(ordered(told).mapInArrow(judged, out), "seen-readings")
     return _stitched(seen, k, cs, run).select(*[F.col(a).alias(c) for c, a in zip([*keys, *carry], [*k, *cs])], F.col("v").alias(value), F.col("id").alias(ident), "spike", "stuck")
@@ -260,7 +264,7 @@ def _stitched(seen: DataFrame, k: list[str], cs: list[str], run: int) -> DataFra
     total = F.sum("length").over(Window.partitionBy(*k, "island"))
     long = runs.withColumns(before).withColumn("island", island).withColumn("total", total).where(F.col("total") >= run).select(*[F.col(c).alias("l_" + c) for c in [*k, "block", "edge"]])
     on = [F.col(c).eqNullSafe(F.col("l_" + c)) for c in [*k, "block", "edge"]]
-    judged = seen.join(long, on, "left")
+    judged = seen.join(long.hint("merge"), on, "left")  # estimates of packed files are no measure for a broadcast
     flag = lambda bit: F.col("flag").bitwiseAND(bit) != 0
     marked = judged.withColumns({"spike": flag(SPIKE), "stuck": flag(STUCK) | F.col("l_block").isNotNull()})
     return marked.where("spike OR stuck").select(*k, *cs, "v", "id", "spike", "stuck")

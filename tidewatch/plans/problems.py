@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.timestamps import parse_iso
 from tidewatch.operators import cdc, grid, late, spikes
 from tidewatch.operators.dedup import extra_copies, kept_once
-from tidewatch.shared import scratch_path, written, written_bytes
+from tidewatch.shared import hashed_bytes, scratch_path, written
 
 MESSAGE = ("asset_id", "event_id")
 
@@ -102,8 +102,8 @@ def p4_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COPY_SALTS = 8
-#: A written table of at most so many bytes is broadcast.
-SMALL_BYTES = 4 << 20
+#: A table that takes at most so many bytes in memory is broadcast.
+SMALL_BYTES = 32 << 20
 
 
 def p5_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,17 +111,17 @@ def p5_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = table(spark, sf_dir, "sensor_readings")
     sent = everything.select(*MESSAGE, "ingestion_time", "delivery_id", "stream", "value", "event_time")
     kept = kept_once(sent, MESSAGE, "ingestion_time", "delivery_id").drop("ingestion_time")
-    sources = everything.select(*SOURCE).distinct().count()
-    odd = written(spikes.suspicious(kept, SOURCE, "event_time", "value", "delivery_id", carry=("event_id",), sources=sources), "odd-readings")
+    odd = written(spikes.suspicious(kept, SOURCE, "event_time", "value", "delivery_id", carry=("event_id",)), "odd-readings")
     rows = odd.select("delivery_id", "spike", "stuck", F.lit(False).alias("impossible"))
     # the other deliveries of an odd message with its value are its copies
     others = everything.where(F.col("event_id").isNotNull()).select(*MESSAGE, "value", "delivery_id")
     named = odd.where(F.col("event_id").isNotNull()).select(*[F.col(c).alias("o_" + c) for c in (*MESSAGE, "value", "delivery_id")], "spike", "stuck")
     same = [*MESSAGE, "value"]
-    if written_bytes(odd) <= SMALL_BYTES:
+    if hashed_bytes(named) <= SMALL_BYTES:
         named = F.broadcast(named)
     else:  # odd messages meet their copies once per salt, so that a message with very many is split
-        named = named.withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
+        # and are never broadcast: Spark would go by the size of their packed files, a hundredth of what they take in memory
+        named = named.withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1)))).hint("merge")
         others = others.withColumn("salt", F.pmod("delivery_id", F.lit(COPY_SALTS)).cast("int"))
         same.append("salt")
     met = others.join(named, [F.col(c).eqNullSafe(F.col("o_" + c)) for c in same])

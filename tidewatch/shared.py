@@ -11,6 +11,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,9 +69,11 @@ def files_bytes(spark: SparkSession, path: str) -> int:
     return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
 
 
-def written_bytes(df: DataFrame) -> int:
-    """The size of the files behind what :func:`written` gave."""
-    return sum(files_bytes(df.sparkSession, folder) for folder in {os.path.dirname(f) for f in df.inputFiles()})
+def hashed_bytes(df: DataFrame) -> int:
+    """About the memory that ``df`` takes when it is broadcast, where a row is held as a key and as a value; this reads it."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    row = 2 * (8 + 8 * len(df.columns)) + 32
+    return int(df.agg(F.sum(sum((2 * t for t in texts), F.lit(row)).cast("long")).alias("n")).first().n or 0)
 
 
 def drop_written(*tables: DataFrame) -> None:
